@@ -1 +1,8 @@
 """Operators for building training data; nothing else in the library imports this subpackage."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions go to the executors with their code, so the package need not be installed there
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
