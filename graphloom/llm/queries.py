@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, langid, line_dedup, mixing, secrets, simhash
+from . import chat, exact_dedup, langid, line_dedup, mixing, packing, secrets, simhash
 from .common import table
 
 
@@ -54,6 +54,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op4_langid": op4_langid,
@@ -62,4 +66,5 @@ QUERIES = {
     "op7_chat": op7_chat,
     "op8_secrets": op8_secrets,
     "op9_line_dedup": op9_line_dedup,
+    "op10_packing": op10_packing,
 }
