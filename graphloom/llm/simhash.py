@@ -61,7 +61,11 @@ def shingle_hashes(text: bytes, n: int = SHINGLE, seed: int = SEED):
 
 
 def fingerprint(text: bytes | None, n: int = SHINGLE) -> int:
-    hashes = np.array(shingle_hashes(text or b"", n), np.uint64)
+    return fingerprint_of(np.array(shingle_hashes(text or b"", n), np.uint64))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), CHUNK):
         bits = np.unpackbits(hashes[at : at + CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
@@ -134,6 +138,22 @@ def _forest(fps: np.ndarray, start: int, distance: int, parts) -> list[tuple[np.
     return out
 
 
+def spread_buckets(rows: DataFrame, member: str, block: int) -> DataFrame:
+    """(key, member, pair) of (key, member): groups of two blocks at most in which all members of a key meet.
+
+    A key with up to ``block`` members is one group. The members of a larger one
+    are dealt into blocks, and each goes to all pairs of blocks with its own.
+    """
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
+    hot = cut(sizes.select(F.col("key").alias("hot_key"), F.ceil(F.col("n") / block).cast("int").alias("blocks")), "hot-buckets")
+    joined = rows.join(small_enough(hot), F.col("key") == F.col("hot_key"), "left")
+    own = F.pmod(F.xxhash64(member), F.col("blocks")).cast("int")
+    pairs = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(
+        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.least(x, own).cast("long") * F.col("blocks") + F.greatest(x, own))
+    )
+    return joined.select("key", member, F.explode(pairs).alias("pair"))
+
+
 def linked_pairs(prints: DataFrame, distance: int = DISTANCE, widths=WIDTHS) -> DataFrame:
     """(a, b): links between the distinct fingerprints of ``prints`` (column fp) that keep its components.
 
@@ -144,15 +164,7 @@ def linked_pairs(prints: DataFrame, distance: int = DISTANCE, widths=WIDTHS) ->
         raise ValueError("more segments than differing bits are needed")
     parts = _segments(widths)
     rows = prints.select("fp", F.explode(bucket_keys("fp", distance, widths)).alias("key"))
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    # alone in its bucket: nothing to compare; in a large one: each row goes to all pairs of blocks with its own
-    hot = cut(sizes.where(F.col("n") > BLOCK).select(F.col("key").alias("hot_key"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "hot-buckets")
-    spread = rows.join(small_enough(hot), F.col("key") == F.col("hot_key"), "left")
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    block_pairs = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.least(x, own).cast("long") * F.col("blocks") + F.greatest(x, own))
-    )
-    spread = spread.select("key", "fp", F.explode(block_pairs).alias("pair"))
+    spread = spread_buckets(rows, "fp", BLOCK)
     grouped = spread.repartition("key", "pair").sortWithinPartitions("key", "pair", "fp")
 
     def link(batches):
