@@ -55,8 +55,9 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epoc
         "cap_before": F.coalesce(F.sum("cap").over(before), F.lit(0.0)),
         "weight_left": F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
     }).withColumn("rate", (F.col("budget") - F.col("cap_before")) / F.col("weight_left"))
+    # from the first source whose share fits on, rates no longer rise: its rate is the largest of those that fit
     open_rate = F.when(F.col("rate") * F.col("weight") <= F.col("cap"), F.col("rate"))
-    level = level.withColumn("first_open", F.min(open_rate).over(all_rows)).withColumn(
+    level = level.withColumn("first_open", F.max(open_rate).over(all_rows)).withColumn(
         "target", F.when(F.col("first_open").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("first_open") * F.col("weight")))
     )
     return level.select("source", "source_size", "target")

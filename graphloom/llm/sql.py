@@ -21,7 +21,7 @@ l as (select *, (sum(source_size) over ())::double * 1.5::double as budget,
              coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0.0::double) as cap_before,
              sum(weight) over (order by cap / weight, source nulls last rows between current row and unbounded following) as weight_left from w),
 r as (select *, (budget - cap_before) / weight_left as rate from l),
-f as (select *, min(case when rate * weight <= cap then rate end) over () as first_open from r),
+f as (select *, max(case when rate * weight <= cap then rate end) over () as first_open from r),
 g as (select source, source_size, case when first_open is null then cap else least(cap, first_open * weight) end as target from f),
 p as (select d.doc_id, d.size, g.source_size, g.target,
              case when g.source_size > 0 then least(floor(g.target / g.source_size)::bigint, 2) else 0 end as epochs,
