@@ -34,8 +34,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: documents repeated and cut to their shares."""
-    return mixing.mixed_documents(docs, table(spark, sf_dir, "labels"))
+    """The mix of sources: documents repeated and cut to their shares, with n_chars of the text as it is then."""
+    mixed = mixing.mixed_documents(docs, table(spark, sf_dir, "labels"))
+    return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

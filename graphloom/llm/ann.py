@@ -193,7 +193,7 @@ def neighbour_graph(points: DataFrame, width: int, degree: int = DEGREE, rounds:
         met = around.repartition("of").sortWithinPartitions("of", "who").mapInArrow(meet, "node long, nbr long, sim float")
         found = met.withColumn("fresh", F.lit(1)).unionByName(graph.withColumn("fresh", F.lit(0)))
         graph = cut(_kept(found, degree), "ann-graph")
-        if graph.agg(F.sum("fresh")).first()[0] <= STOP_SHARE * total:
+        if (graph.agg(F.sum("fresh")).first()[0] or 0) <= STOP_SHARE * total:
             break
     return graph.select("node", "nbr", "sim")
 
