@@ -20,6 +20,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ SHARD_DOCS, SHARD_TOKENS = 1024, 1 << 22
 QUERY_TERMS, NEIGHBOURS = 24, 32
 K1, B = 1.2, 0.75
 #: White-space-delimited strings whose ids a task remembers.
-CACHE = 400_000
+CACHE = 600_000
 
 
 def tokenizer_path() -> str:
@@ -56,19 +57,35 @@ class ChunkTokenizer:
 
     def ids(self, texts: list[bytes], end_id: int | None = END_ID) -> list[bytes]:
         """Little-endian unsigned 16-bit ids of each text."""
-        chunks = [t.split() for t in texts]
-        missing = {c for own in chunks for c in own if c not in self.known}
-        if len(self.known) + len(missing) > CACHE:
+        # the tokenizer lower-cases, but finds its special tokens before it does
+        chunks = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        missing: set[bytes] = set()
+        for own in chunks:
+            missing.update(own)
+        fresh = [c for c in missing if c not in self.known]
+        if len(self.known) + len(fresh) > CACHE:
             self.known.clear()
-            missing = {c for own in chunks for c in own}
-        todo = list(missing)
-        for at in range(0, len(todo), 4096):
-            part = todo[at : at + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch([c.decode() for c in part], add_special_tokens=False), strict=True):
-                self.known[c] = np.array(e.ids, "<u2").tobytes()
+            fresh = list(missing)
+        for at in range(0, len(fresh), 4096):
+            self.learn(fresh[at : at + 4096])
         tail = b"" if end_id is None else np.array([end_id], "<u2").tobytes()
-        known = self.known
-        return [b"".join([known[c] for c in own]) + tail for own in chunks]
+        get = self.known.__getitem__
+        return [b"".join(map(get, own)) + tail for own in chunks]
+
+    def learn(self, chunks: list[bytes]) -> None:
+        """Encode the chunks as a few texts of many; each id belongs to the chunk at its offset."""
+        words = [c.decode() for c in chunks]
+        groups = [words[at : at + 64] for at in range(0, len(words), 64)]
+        encoded = self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)
+        shifts = np.cumsum([0, *(sum(map(len, g)) + len(g) for g in groups)])
+        starts = np.cumsum([0, *(len(w) + 1 for w in words)])[:-1]
+        at = np.concatenate([np.fromiter(chain.from_iterable(e.offsets), np.int64, 2 * len(e))[::2] + shift for e, shift in zip(encoded, shifts)])  # noqa: B905
+        ends = np.cumsum(np.bincount(np.searchsorted(starts, at, "right") - 1, minlength=len(words))) * 2
+        ids = np.fromiter(chain.from_iterable(e.ids for e in encoded), "<u2", len(at)).tobytes()
+        begin = 0
+        for chunk, end in zip(chunks, ends.tolist(), strict=True):
+            self.known[chunk] = ids[begin:end]
+            begin = end
 
 
 def token_ids(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
