@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.statistics import columns, term_of
+from ..scratch import materialised
 
 #: The six orders of a triple's slots.
 ORDERS = ("spo", "sop", "ops", "osp", "pso", "pos")
@@ -18,7 +19,7 @@ ORDERS = ("spo", "sop", "ops", "osp", "pso", "pos")
 def _numbered(df: DataFrame, *order) -> DataFrame:
     """Ids from 0 in an order, without bringing all rows into one task: partitions are counted first."""
     spark: SparkSession = df.sparkSession
-    placed = df.orderBy(*order).withColumn("part", F.spark_partition_id()).withColumn("nth", F.monotonically_increasing_id())
+    placed = materialised(df.orderBy(*order).withColumn("part", F.spark_partition_id()).withColumn("nth", F.monotonically_increasing_id()), "numbered")
     sizes = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a partition
     shift, rows = 0, []
     for part in sorted(sizes):

@@ -28,7 +28,7 @@ _TOKEN = re.compile(
   |(?P<at>@[A-Za-z]+(?:-[A-Za-z0-9]+)*)
   |(?P<blank>_:[^\s<>"'()\[\]{},;.\#]+(?:\.+[^\s<>"'()\[\]{},;.\#]+)*)
   |(?P<number>[+-]?(?:[0-9]+\.[0-9]+|\.[0-9]+|[0-9]+)(?:[eE][+-]?[0-9]+)?)
-  |(?P<name>[^\s<>"'()\[\]{},;.\#@:]*:(?:[^\s<>"'()\[\]{},;.\#]|\.(?=[^\s<>"'()\[\]{},;.\#]))*)
+  |(?P<name>[^\s<>"'()\[\]{},;.\#@:^]*:(?:[^\s<>"'()\[\]{},;.\#]|\.(?=[^\s<>"'()\[\]{},;.\#]))*)
   |(?P<word>[A-Za-z]+)
   |(?P<sign>\^\^|[.,;()\[\]])''',
     re.VERBOSE | re.DOTALL,
@@ -188,14 +188,12 @@ class TurtleParser:
                 if not self.sign(","):
                     break
                 self.next()
+            if not self.sign(";"):
+                return
             while self.sign(";"):
                 self.next()
-                if self.sign(".") or self.sign("]"):
-                    return
             if self.sign(".") or self.sign("]"):
                 return
-            if self.token[0] == "end":
-                raise TurtleError("'.' expected")
 
     def object(self) -> tuple[str, int, str | None]:
         """The object at the current token; ends behind it."""
