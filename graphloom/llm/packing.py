@@ -18,7 +18,11 @@ other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
+import sys
+import types
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import chain
 
@@ -36,8 +40,10 @@ SHARD_DOCS, SHARD_TOKENS = 1024, 1 << 22
 #: Terms of a seed that are looked up, and neighbours a look-up returns.
 QUERY_TERMS, NEIGHBOURS = 24, 32
 K1, B = 1.2, 0.75
-#: White-space-delimited strings whose ids a task remembers.
-CACHE = 600_000
+#: Keys that are sampled for each task's range.
+RANGE_SAMPLE = 60
+#: White-space-delimited strings whose ids a worker remembers.
+CACHE = 1_000_000
 
 
 def tokenizer_path() -> str:
@@ -46,78 +52,142 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+#: A string's last letter and the signs behind it are never in one token.
+_ENDED = re.compile(rb"([a-z\x80-\xff]*[a-z])([.,;:!?]+)")
+_LETTERS = re.compile("[a-z]+")
+
+
 class ChunkTokenizer:
     """Ids by ``tokenizers``, remembered for each string between ASCII white space, which no token spans."""
 
+    @classmethod
+    def of_worker(cls, path: str) -> ChunkTokenizer:
+        """The one of this Python process, which lasts for more tasks than one."""
+        held = sys.modules.setdefault("_loom_tokenizers", types.ModuleType("_loom_tokenizers")).__dict__
+        out = cls.__new__(cls)
+        out.__dict__ = held.get(path) or held.setdefault(path, vars(cls(path)))
+        return out
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        # a run of the letters a to z is one word to the tokenizer, so this shorter way gives the same ids
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer, self.plain.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(1 << 16, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def ids(self, texts: list[bytes], end_id: int | None = END_ID) -> list[bytes]:
         """Little-endian unsigned 16-bit ids of each text."""
         # the tokenizer lower-cases, but finds its special tokens before it does
         chunks = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        missing: set[bytes] = set()
+        distinct: set[bytes] = set()
         for own in chunks:
-            missing.update(own)
-        fresh = [c for c in missing if c not in self.known]
-        if len(self.known) + len(fresh) > CACHE:
-            self.known.clear()
-            fresh = list(missing)
-        for at in range(0, len(fresh), 4096):
-            self.learn(fresh[at : at + 4096])
+            distinct.update(own)
+        get = self.known.get
+        near = {c: get(c) for c in distinct}  # small enough for the processor's cache
+        fresh = [c for c, ids in near.items() if ids is None]
+        if fresh:
+            if len(self.known) + len(fresh) > CACHE:
+                self.known.clear()
+            near.update(self.learn(fresh))
         tail = b"" if end_id is None else np.array([end_id], "<u2").tobytes()
-        get = self.known.__getitem__
+        get = near.__getitem__
         return [b"".join(map(get, own)) + tail for own in chunks]
 
-    def learn(self, chunks: list[bytes]) -> None:
-        """Encode the chunks as a few texts of many; each id belongs to the chunk at its offset."""
-        words = [c.decode() for c in chunks]
+    def learn(self, fresh: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of new strings; what ends in signs is put together from its parts."""
+        found: dict[bytes, bytes] = {}
+        ended = [m for c in fresh if (m := _ENDED.fullmatch(c))]
+        whole = set(fresh).difference([m[0] for m in ended])
+        for p in {p for m in ended for p in m.groups()} - whole:
+            if p in self.known:
+                found[p] = self.known[p]
+            else:
+                whole.add(p)
+        words = [c.decode() for c in whole]
+        letters = [w for w in words if _LETTERS.fullmatch(w)]
+        others = [w for w in words if not _LETTERS.fullmatch(w)]
+        for at in range(0, len(letters), 4096):
+            self._words(letters[at : at + 4096], found)
+        for at in range(0, len(others), 4096):
+            self._strings(others[at : at + 4096], found)
+        for m in ended:
+            found[m[0]] = found[m[1]] + found[m[2]]
+        self.known.update(found)
+        return found
+
+    def _words(self, words: list[str], found: dict[bytes, bytes]) -> None:
+        """Single words, encoded as texts of many; each ends with an id that ends a word."""
+        encoded = self.plain.encode_batch([" ".join(words[at : at + 64]) for at in range(0, len(words), 64)], add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in encoded), "<u2")
+        self._cut(words, ids, np.flatnonzero(self.ends[ids]) + 1, found)
+
+    def _strings(self, words: list[str], found: dict[bytes, bytes]) -> None:
+        """Any strings, encoded as texts of many; each id belongs to the string at its offset."""
         groups = [words[at : at + 64] for at in range(0, len(words), 64)]
         encoded = self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)
         shifts = np.cumsum([0, *(sum(map(len, g)) + len(g) for g in groups)])
         starts = np.cumsum([0, *(len(w) + 1 for w in words)])[:-1]
         at = np.concatenate([np.fromiter(chain.from_iterable(e.offsets), np.int64, 2 * len(e))[::2] + shift for e, shift in zip(encoded, shifts)])  # noqa: B905
-        ends = np.cumsum(np.bincount(np.searchsorted(starts, at, "right") - 1, minlength=len(words))) * 2
-        ids = np.fromiter(chain.from_iterable(e.ids for e in encoded), "<u2", len(at)).tobytes()
-        begin = 0
-        for chunk, end in zip(chunks, ends.tolist(), strict=True):
-            self.known[chunk] = ids[begin:end]
+        ends = np.cumsum(np.bincount(np.searchsorted(starts, at, "right") - 1, minlength=len(words)))
+        self._cut(words, np.fromiter(chain.from_iterable(e.ids for e in encoded), "<u2", len(at)), ends, found)
+
+    @staticmethod
+    def _cut(words: list[str], ids: np.ndarray, ends: np.ndarray, found: dict[bytes, bytes]) -> None:
+        data, begin = ids.tobytes(), 0
+        for word, end in zip(words, (ends * 2).tolist(), strict=True):
+            found[word.encode()] = data[begin:end]
             begin = end
 
 
+#: Where a vector of document frequencies has the number of documents and of ids.
+DOCUMENTS, IDS = 1 << 16, (1 << 16) + 1
+
+
 def token_ids(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, ids) of a table of two columns, id and text; ids are 16-bit."""
+    """(doc_id, ids, df) of a table of two columns, id and text; ids are 16-bit.
+
+    Every task adds one row without ids: df is then the vector of its document frequencies.
+    """
     path = path or tokenizer_path()
 
     def run(batches):
-        tokenizer = None
+        tokenizer, kind = None, None
+        counts = np.zeros((1 << 16) + 2, "<i8")
         for batch in batches:
-            tokenizer = tokenizer or ChunkTokenizer(path)
+            tokenizer, kind = tokenizer or ChunkTokenizer.of_worker(path), batch.column(0).type
             texts = [t or b"" for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
             out = []
             for at in range(0, len(texts), 256):
                 out += tokenizer.ids(texts[at : at + 256], end_id)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "ids"])
+            for ids in out:
+                counts[np.unique(np.frombuffer(ids, "<u2"))] += 1
+                counts[IDS] += len(ids) // 2
+            counts[DOCUMENTS] += len(out)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.nulls(len(out), pa.binary())], ["doc_id", "ids", "df"])
+        if kind is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary())], ["doc_id", "ids", "df"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema[0].dataType.simpleString()}, ids binary")
+    return docs.mapInArrow(run, f"doc_id {docs.schema[0].dataType.simpleString()}, ids binary, df binary")
 
 
 def document_frequencies(tokens: DataFrame) -> np.ndarray:
-    """For each id the documents that have it: a vector of the vocabulary's size."""
+    """For each id the documents that have it, and at DOCUMENTS and IDS the corpus's size: a vector of the vocabulary's size."""
 
     def run(batches):
-        counts = np.zeros(1 << 16, np.int64)
+        counts = np.zeros((1 << 16) + 2, np.int64)
         for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                counts[np.unique(np.frombuffer(ids, "<u2"))] += 1
+            for data in batch.column(0).to_pylist():
+                counts += np.frombuffer(data, "<i8")
         terms = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(terms.astype(np.int32)), pa.array(counts[terms])], ["term", "n"])
 
-    out = np.zeros(1 << 16, np.int64)
-    for row in tokens.select("ids").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    out = np.zeros((1 << 16) + 2, np.int64)
+    for row in tokens.where("df is not null").select("df").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         out[row["term"]] = row["n"]
     return out
 
@@ -227,26 +297,46 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     ids: the piece's ids, as little-endian unsigned 32-bit numbers.
     """
     tokens = cut(token_ids(docs.select(F.col(id_col), F.col(text_col)), path), "token-ids")
-    sums = tokens.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("ids") / 2).alias("ids")).first()
-    count, mean_length = sums["n"], float(sums["ids"] or 1) / max(1, sums["n"])
     df = document_frequencies(tokens)
+    count, mean_length = int(df[DOCUMENTS]), float(df[IDS] or 1) / max(1, int(df[DOCUMENTS]))
+    df = df[: 1 << 16]
     idf = np.log1p((count - df + 0.5) / (df + 0.5)).astype(np.float32)
     idf[END_ID] = 0
-    shared = docs.sparkSession.sparkContext.broadcast(idf)
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(idf)
+    tokens = tokens.where("ids is not null").select("doc_id", "ids", F.xxhash64("doc_id", "ids").alias("tie"))
+    kind = tokens.schema["doc_id"].dataType.simpleString()
+
+    def key_of(data: bytes, weight: np.ndarray) -> int:
+        """The two most telling terms."""
+        own, tf = np.unique(np.frombuffer(data, "<u2"), return_counts=True)
+        w = weight[own] * tf / (tf + K1)
+        first = int(w.argmax())
+        w[first] = -1
+        return int(own[first]) << 16 | int(own[w.argmax() if len(own) > 1 else first])
+
+    def keys_only(batches):
+        for batch in batches:
+            keys = [key_of(data, shared.value) for data in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(1)], ["key", "tie"])
+
+    # the ranges of the tasks, from a sample of keys that is bounded by the number of tasks
+    tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), count // 64))
+    share = min(1.0, tasks * RANGE_SAMPLE / max(1, count))
+    chosen = F.pmod("tie", F.lit(1_000_003)) < share * 1_000_003  # by content, so that reruns agree
+    sampled = tokens.where(chosen).select("ids", "tie").mapInArrow(keys_only, "key long, tie long").collect()
+    sampled = sorted((r["key"], r["tie"]) for r in sampled)
+    bounds = spark.sparkContext.broadcast([sampled[i * len(sampled) // tasks] for i in range(1, tasks)] if sampled else [])
 
     def keyed(batches):
-        weight = shared.value
+        weight, limits = shared.value, bounds.value
         for batch in batches:
-            keys = []
-            for data in batch.column(1).to_pylist():
-                own, tf = np.unique(np.frombuffer(data, "<u2"), return_counts=True)
-                best = own[np.argsort(-weight[own] * tf / (tf + K1), kind="stable")[:2]].astype(np.int64)
-                keys.append(int(best[0]) << 16 | int(best[-1]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], ["doc_id", "ids", "key"])
+            keys = [key_of(data, weight) for data in batch.column(1).to_pylist()]
+            parts = [bisect_right(limits, pair) for pair in zip(keys, batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64()), pa.array(parts, pa.int32())], ["doc_id", "ids", "tie", "key", "part"])
 
-    kind = tokens.schema["doc_id"].dataType.simpleString()
-    near = tokens.mapInArrow(keyed, f"doc_id {kind}, ids binary, key long").withColumn("tie", F.xxhash64("doc_id", "ids"))
-    near = near.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie")
+    near = tokens.mapInArrow(keyed, f"doc_id {kind}, ids binary, tie long, key long, part int")
+    near = near.repartitionById(tasks, "part").sortWithinPartitions("key", "tie")
 
     def run(batches: Iterator[pa.RecordBatch]):
         weight = shared.value
