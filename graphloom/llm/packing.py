@@ -24,10 +24,11 @@ import types
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +45,8 @@ K1, B = 1.2, 0.75
 RANGE_SAMPLE = 60
 #: White-space-delimited strings whose ids a worker remembers.
 CACHE = 1_000_000
+#: Rows and bytes of text that are encoded together.
+PIECE_ROWS, PIECE_BYTES = 2048, 16 << 20
 
 
 def tokenizer_path() -> str:
@@ -52,13 +55,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
-#: A string's last letter and the signs behind it are never in one token.
-_ENDED = re.compile(rb"([a-z\x80-\xff]*[a-z])([.,;:!?]+)")
-_LETTERS = re.compile("[a-z]+")
+_LETTERS = re.compile(rb"[a-z]+")
 
 
 class ChunkTokenizer:
-    """Ids by ``tokenizers``, remembered for each string between ASCII white space, which no token spans."""
+    """Ids by ``tokenizers``, remembered for each string between ASCII white space, which no token spans.
+
+    The ids of all known strings lie in one array; a string's number tells where.
+    """
 
     @classmethod
     def of_worker(cls, path: str) -> ChunkTokenizer:
@@ -68,65 +72,69 @@ class ChunkTokenizer:
         out.__dict__ = held.get(path) or held.setdefault(path, vars(cls(path)))
         return out
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int = END_ID):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
         # a run of the letters a to z is one word to the tokenizer, so this shorter way gives the same ids
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer, self.plain.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(1 << 16, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-
-    def ids(self, texts: list[bytes], end_id: int | None = END_ID) -> list[bytes]:
-        """Little-endian unsigned 16-bit ids of each text."""
-        # the tokenizer lower-cases, but finds its special tokens before it does
-        chunks = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        distinct: set[bytes] = set()
-        for own in chunks:
-            distinct.update(own)
-        get = self.known.get
-        near = {c: get(c) for c in distinct}  # small enough for the processor's cache
-        fresh = [c for c, ids in near.items() if ids is None]
-        if fresh:
+        self.ends_word = np.zeros(1 << 16, bool)
+        self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        """Only the empty string is known, as number 0; number 1 is the end id."""
+        self.known: dict[bytes, int] = {b"": 0}
+        self.pool, self.starts, self.lengths = np.array([self.end_id], "<u2"), np.array([0, 0]), np.array([0, 1])
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each text's followed by the end id, and where each text's end."""
+        # the tokenizer lower-cases, but finds its special tokens before it does; Arrow's own kernel
+        # for it reads wrong bytes of sliced arrays
+        low = [t if b"<|" in t else t.lower() for t in texts]
+        words = pc.ascii_split_whitespace(pa.array(low, pa.large_binary()).view(pa.large_string()))
+        coded = words.flatten().dictionary_encode()
+        bounds = words.offsets.to_numpy()[1:]
+        numbers = self.numbers(coded.dictionary.cast(pa.large_binary()).to_pylist())
+        sequence = np.insert(numbers[coded.indices.to_numpy()], bounds, 1)
+        lengths = self.lengths[sequence]
+        upto = np.cumsum(lengths)
+        ids = self.pool[np.arange(upto[-1]) + np.repeat(self.starts[sequence] - upto + lengths, lengths)]
+        return ids, upto[bounds + np.arange(len(bounds))]
+
+    def numbers(self, strings: list[bytes]) -> np.ndarray:
+        out = np.fromiter(map(self.known.get, strings, repeat(-1)), np.int64, len(strings))
+        fresh = np.flatnonzero(out < 0)
+        if len(fresh):
             if len(self.known) + len(fresh) > CACHE:
-                self.known.clear()
-            near.update(self.learn(fresh))
-        tail = b"" if end_id is None else np.array([end_id], "<u2").tobytes()
-        get = near.__getitem__
-        return [b"".join(map(get, own)) + tail for own in chunks]
-
-    def learn(self, fresh: list[bytes]) -> dict[bytes, bytes]:
-        """The ids of new strings; what ends in signs is put together from its parts."""
-        found: dict[bytes, bytes] = {}
-        ended = [m for c in fresh if (m := _ENDED.fullmatch(c))]
-        whole = set(fresh).difference([m[0] for m in ended])
-        for p in {p for m in ended for p in m.groups()} - whole:
-            if p in self.known:
-                found[p] = self.known[p]
-            else:
-                whole.add(p)
-        words = [c.decode() for c in whole]
-        letters = [w for w in words if _LETTERS.fullmatch(w)]
-        others = [w for w in words if not _LETTERS.fullmatch(w)]
-        for at in range(0, len(letters), 4096):
-            self._words(letters[at : at + 4096], found)
-        for at in range(0, len(others), 4096):
-            self._strings(others[at : at + 4096], found)
-        for m in ended:
-            found[m[0]] = found[m[1]] + found[m[2]]
-        self.known.update(found)
-        return found
-
-    def _words(self, words: list[str], found: dict[bytes, bytes]) -> None:
+                self.forget()
+                fresh = np.flatnonzero(np.array([s != b"" for s in strings], bool))
+                out[:] = 0
+            new = [strings[i] for i in fresh]
+            letters = np.array([_LETTERS.fullmatch(s) is not None for s in new], bool)
+            for which, encode in ((letters, self._words), (~letters, self._strings)):
+                some = np.flatnonzero(which).tolist()
+                for at in range(0, len(some), 4096):
+                    self._add([new[i] for i in some[at : at + 4096]], encode)
+            out[fresh] = [self.known[s] for s in new]
+        return out
+
+    def _add(self, strings: list[bytes], encode) -> None:
+        ids, ends = encode([s.decode() for s in strings])
+        lengths = np.diff(ends, prepend=0)
+        self.known.update(zip(strings, range(len(self.starts), len(self.starts) + len(strings)), strict=True))
+        self.starts = np.concatenate([self.starts, ends - lengths + len(self.pool)])
+        self.lengths, self.pool = np.concatenate([self.lengths, lengths]), np.concatenate([self.pool, ids])
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Single words, encoded as texts of many; each ends with an id that ends a word."""
         encoded = self.plain.encode_batch([" ".join(words[at : at + 64]) for at in range(0, len(words), 64)], add_special_tokens=False)
         ids = np.fromiter(chain.from_iterable(e.ids for e in encoded), "<u2")
-        self._cut(words, ids, np.flatnonzero(self.ends[ids]) + 1, found)
+        return ids, np.flatnonzero(self.ends_word[ids]) + 1
 
-    def _strings(self, words: list[str], found: dict[bytes, bytes]) -> None:
+    def _strings(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Any strings, encoded as texts of many; each id belongs to the string at its offset."""
         groups = [words[at : at + 64] for at in range(0, len(words), 64)]
         encoded = self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)
@@ -134,21 +142,14 @@ class ChunkTokenizer:
         starts = np.cumsum([0, *(len(w) + 1 for w in words)])[:-1]
         at = np.concatenate([np.fromiter(chain.from_iterable(e.offsets), np.int64, 2 * len(e))[::2] + shift for e, shift in zip(encoded, shifts)])  # noqa: B905
         ends = np.cumsum(np.bincount(np.searchsorted(starts, at, "right") - 1, minlength=len(words)))
-        self._cut(words, np.fromiter(chain.from_iterable(e.ids for e in encoded), "<u2", len(at)), ends, found)
-
-    @staticmethod
-    def _cut(words: list[str], ids: np.ndarray, ends: np.ndarray, found: dict[bytes, bytes]) -> None:
-        data, begin = ids.tobytes(), 0
-        for word, end in zip(words, (ends * 2).tolist(), strict=True):
-            found[word.encode()] = data[begin:end]
-            begin = end
+        return np.fromiter(chain.from_iterable(e.ids for e in encoded), "<u2", len(at)), ends
 
 
 #: Where a vector of document frequencies has the number of documents and of ids.
 DOCUMENTS, IDS = 1 << 16, (1 << 16) + 1
 
 
-def token_ids(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
+def token_ids(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids, df) of a table of two columns, id and text; ids are 16-bit.
 
     Every task adds one row without ids: df is then the vector of its document frequencies.
@@ -157,21 +158,34 @@ def token_ids(docs: DataFrame, path: str | None = None, end_id: int = END_ID) ->
 
     def run(batches):
         tokenizer, kind = None, None
-        counts = np.zeros((1 << 16) + 2, "<i8")
+        counts, seen = np.zeros((1 << 16) + 2, "<i8"), np.zeros(1 << 16, bool)
         for batch in batches:
             tokenizer, kind = tokenizer or ChunkTokenizer.of_worker(path), batch.column(0).type
-            texts = [t or b"" for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
-            out = []
-            for at in range(0, len(texts), 256):
-                out += tokenizer.ids(texts[at : at + 256], end_id)
-            for ids in out:
-                counts[np.unique(np.frombuffer(ids, "<u2"))] += 1
-                counts[IDS] += len(ids) // 2
-            counts[DOCUMENTS] += len(out)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.nulls(len(out), pa.binary())], ["doc_id", "ids", "df"])
+            for rows in pieces(batch):
+                ids, ends = tokenizer.encode([t or b"" for t in rows.column(1).cast(pa.large_binary()).to_pylist()])
+                for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                    seen[ids[a:b]] = True
+                    own = np.flatnonzero(seen)
+                    counts[own] += 1
+                    seen[own] = False
+                counts[DOCUMENTS] += len(ends)
+                counts[IDS] += len(ids)
+                offsets = np.concatenate([[0], ends * 2]).astype(np.int32)
+                data = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u2"))])
+                yield pa.RecordBatch.from_arrays([rows.column(0), data, pa.nulls(len(ends), pa.binary())], ["doc_id", "ids", "df"])
         if kind is not None:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary())], ["doc_id", "ids", "df"])
 
+    def pieces(batch):
+        """Slices of up to PIECE_ROWS rows and, but for single longer texts, PIECE_BYTES bytes."""
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = sizes[at - 1] if at else 0
+            n = max(1, min(PIECE_ROWS, int(np.searchsorted(sizes, before + PIECE_BYTES, "right")) - at))
+            yield batch.slice(at, n)
+            at += n
+
     return docs.mapInArrow(run, f"doc_id {docs.schema[0].dataType.simpleString()}, ids binary, df binary")
 
 

@@ -221,7 +221,9 @@ def check_packing(rows, docs, with_ids=True):
     assert padding == 0
 
 
-def test_op10_pieces(spark, small):
+@pytest.mark.parametrize("piece_rows", [7, 2048])
+def test_op10_pieces(spark, small, monkeypatch, piece_rows):
+    monkeypatch.setattr(packing, "PIECE_ROWS", piece_rows)
     rows = packing.pack(spark.read.parquet(f"{small}/documents.parquet")).collect()
     check_packing(rows, [(d["doc_id"], d["text"]) for d in documents(small)])
     slim = queries.op10_packing(spark, small)
@@ -234,6 +236,18 @@ def test_op10_odd_rows(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_op10_tokenizer_forgets(monkeypatch):
+    """The ids stay the same when the memory is full."""
+    monkeypatch.setattr(packing, "CACHE", 50)
+    tok = packing.ChunkTokenizer(packing.tokenizer_path())
+    texts = [f"word{i} été{i % 7}, <|endoftext|>Ab don't {i}" for i in range(200)] + ["", " "]
+    got = []
+    for at in range(0, len(texts), 9):
+        ids, ends = tok.encode([t.encode() for t in texts[at : at + 9]])
+        got += [x.tolist() for x in np.split(ids, ends[:-1])]
+    assert got == [[*e.ids, 1] for e in tok.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_op10_shard_scores_are_bm25():
     rng = np.random.default_rng(2)
     docs = [rng.integers(2, 40, n).astype(np.uint16) for n in (5, 30, 60, 12)]
