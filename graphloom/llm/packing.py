@@ -114,20 +114,20 @@ class ChunkTokenizer:
                 out[:] = 0
             new = [strings[i] for i in fresh]
             letters = np.array([_LETTERS.fullmatch(s) is not None for s in new], bool)
+            pools, lengths, added = [self.pool], [self.lengths], []
             for which, encode in ((letters, self._words), (~letters, self._strings)):
-                some = np.flatnonzero(which).tolist()
+                some = [new[i] for i in np.flatnonzero(which).tolist()]
+                added += some
                 for at in range(0, len(some), 4096):
-                    self._add([new[i] for i in some[at : at + 4096]], encode)
+                    ids, ends = encode([s.decode() for s in some[at : at + 4096]])
+                    pools.append(ids)
+                    lengths.append(np.diff(ends, prepend=0))
+            self.pool, self.lengths = np.concatenate(pools), np.concatenate(lengths)
+            self.starts = np.cumsum(self.lengths) - self.lengths
+            self.known.update(zip(added, range(len(self.known) + 1, len(self.known) + 1 + len(added)), strict=True))
             out[fresh] = [self.known[s] for s in new]
         return out
 
-    def _add(self, strings: list[bytes], encode) -> None:
-        ids, ends = encode([s.decode() for s in strings])
-        lengths = np.diff(ends, prepend=0)
-        self.known.update(zip(strings, range(len(self.starts), len(self.starts) + len(strings)), strict=True))
-        self.starts = np.concatenate([self.starts, ends - lengths + len(self.pool)])
-        self.lengths, self.pool = np.concatenate([self.lengths, lengths]), np.concatenate([self.pool, ids])
-
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Single words, encoded as texts of many; each ends with an id that ends a word."""
         encoded = self.plain.encode_batch([" ".join(words[at : at + 64]) for at in range(0, len(words), 64)], add_special_tokens=False)
