@@ -76,18 +76,15 @@ class ChunkTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        self.tokenizer = Tokenizer.from_file(path)
         # a run of the letters a to z is one word to the tokenizer, so this shorter way gives the same ids
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer, self.plain.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
         self.ends_word = np.zeros(1 << 16, bool)
         self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-        self.forget()
-
-    def forget(self) -> None:
-        """Only the empty string is known, as number 0; number 1 is the end id."""
+        # number 0 is the empty string, number 1 the end id
         self.known: dict[bytes, int] = {b"": 0}
-        self.pool, self.starts, self.lengths = np.array([self.end_id], "<u2"), np.array([0, 0]), np.array([0, 1])
+        self.pool, self.starts, self.lengths, self.hits = np.array([end_id], "<u2"), np.array([0, 0]), np.array([0, 1]), np.zeros(2, np.int32)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each text's followed by the end id, and where each text's end."""
@@ -104,14 +101,26 @@ class ChunkTokenizer:
         ids = self.pool[np.arange(upto[-1]) + np.repeat(self.starts[sequence] - upto + lengths, lengths)]
         return ids, upto[bounds + np.arange(len(bounds))]
 
+    def shrink(self) -> None:
+        """Keep what was met in several calls, and of that at most half of what can be kept."""
+        kept = np.flatnonzero(self.hits >= 2)
+        kept = kept[np.argsort(-self.hits[kept], kind="stable")[: CACHE // 2]]
+        mask = np.zeros(len(self.hits), bool)
+        mask[kept] = mask[:2] = True
+        place = np.where(mask, np.cumsum(mask) - 1, -1).tolist()
+        starts, self.lengths, self.hits = self.starts[mask], self.lengths[mask], self.hits[mask] // 2
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.pool = self.pool[np.arange(int(self.lengths.sum())) + np.repeat(starts - self.starts, self.lengths)]
+        self.known = {s: place[n] for s, n in self.known.items() if place[n] >= 0}
+
     def numbers(self, strings: list[bytes]) -> np.ndarray:
         out = np.fromiter(map(self.known.get, strings, repeat(-1)), np.int64, len(strings))
         fresh = np.flatnonzero(out < 0)
+        if len(fresh) and len(self.known) + len(fresh) > CACHE:
+            self.shrink()
+            out = np.fromiter(map(self.known.get, strings, repeat(-1)), np.int64, len(strings))
+            fresh = np.flatnonzero(out < 0)
         if len(fresh):
-            if len(self.known) + len(fresh) > CACHE:
-                self.forget()
-                fresh = np.flatnonzero(np.array([s != b"" for s in strings], bool))
-                out[:] = 0
             new = [strings[i] for i in fresh]
             letters = np.array([_LETTERS.fullmatch(s) is not None for s in new], bool)
             pools, lengths, added = [self.pool], [self.lengths], []
@@ -125,7 +134,9 @@ class ChunkTokenizer:
             self.pool, self.lengths = np.concatenate(pools), np.concatenate(lengths)
             self.starts = np.cumsum(self.lengths) - self.lengths
             self.known.update(zip(added, range(len(self.known) + 1, len(self.known) + 1 + len(added)), strict=True))
+            self.hits = np.concatenate([self.hits, np.zeros(len(added), np.int32)])
             out[fresh] = [self.known[s] for s in new]
+        self.hits[out] += 1
         return out
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
