@@ -21,6 +21,7 @@ import os
 import re
 import sys
 import types
+import uuid
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -43,7 +44,7 @@ QUERY_TERMS, NEIGHBOURS = 24, 32
 K1, B = 1.2, 0.75
 #: Keys that are sampled for each task's range.
 RANGE_SAMPLE = 60
-#: White-space-delimited strings whose ids a worker remembers.
+#: White-space-delimited strings whose ids a worker remembers during a run.
 CACHE = 1_000_000
 #: Rows and bytes of text that are encoded together.
 PIECE_ROWS, PIECE_BYTES = 2048, 16 << 20
@@ -65,11 +66,13 @@ class ChunkTokenizer:
     """
 
     @classmethod
-    def of_worker(cls, path: str) -> ChunkTokenizer:
-        """The one of this Python process, which lasts for more tasks than one."""
+    def of_worker(cls, path: str, run: str) -> ChunkTokenizer:
+        """The one of this Python process for a run: its tasks share what they have met, other runs start anew."""
         held = sys.modules.setdefault("_loom_tokenizers", types.ModuleType("_loom_tokenizers")).__dict__
+        if held.get("run") != (path, run):
+            held.update(run=(path, run), state=vars(cls(path)))
         out = cls.__new__(cls)
-        out.__dict__ = held.get(path) or held.setdefault(path, vars(cls(path)))
+        out.__dict__ = held["state"]
         return out
 
     def __init__(self, path: str, end_id: int = END_ID):
@@ -165,13 +168,13 @@ def token_ids(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     Every task adds one row without ids: df is then the vector of its document frequencies.
     """
-    path = path or tokenizer_path()
+    path, this_run = path or tokenizer_path(), uuid.uuid4().hex
 
     def run(batches):
         tokenizer, kind = None, None
         counts, seen = np.zeros((1 << 16) + 2, "<i8"), np.zeros(1 << 16, bool)
         for batch in batches:
-            tokenizer, kind = tokenizer or ChunkTokenizer.of_worker(path), batch.column(0).type
+            tokenizer, kind = tokenizer or ChunkTokenizer.of_worker(path, this_run), batch.column(0).type
             for rows in pieces(batch):
                 ids, ends = tokenizer.encode([t or b"" for t in rows.column(1).cast(pa.large_binary()).to_pylist()])
                 for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
