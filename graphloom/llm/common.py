@@ -42,6 +42,15 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Remove the files of a ``cut`` that nothing reads any more."""
+    files = df.inputFiles()
+    if files:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast where a count proves ``df`` small; else leave the join to Spark."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

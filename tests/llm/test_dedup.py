@@ -131,6 +131,45 @@ def test_op2_catches_a_passage(spark):
     assert got[3] == "A clean start of one document. An end." and got[2] == "More."
 
 
+def test_op2_catches_a_passage_inside_sentences(spark):
+    passage = [f"word{k}" for k in range(55)]
+    copies = {4: "at the start of it we read {} and so it went on.", 2: "This is another one, in which {} stands too", 3: "{}", 9: "It ends so: {}."}
+    marks = {4: " ", 2: " ", 3: ".&&& ", 9: ", "}
+    rows = [(i, t.format(marks[i].join(passage)), "en", "a") for i, t in copies.items()]
+    rows += [(5, "Only a part of it, " + " ".join(passage[:49]) + " is here", "en", "a"), (6, "no " * 300, "en", "a")]
+    got = {r["doc_id"]: r for r in substring_dedup.substring_dedup(docs_of(spark, rows)).collect()}
+    assert got[2]["text"] == rows[1][1] and got[5]["text"] == rows[4][1] and got[6]["text"] == "no " * 50
+    assert [got[i]["text"] for i in (4, 3, 9)] == ["at the start of it we read and so it went on.", "", "It ends so: "]
+    assert [got[i]["n_removed"] > 0 for i in (2, 3, 4, 5, 6, 9)] == [False, True, True, False, True, True]
+
+
+def test_op2_keeps_no_repeated_stretch(spark, small):
+    """Words that stay, by brute force over all stretches of 50 words besides the runs of sentences."""
+    docs, n = sorted((d["doc_id"], d["text"]) for d in documents(small)), 50
+    sentence_words, first, want, cut_inside = plain_spans(docs), {}, {}, 0
+    for i, text in docs:
+        raw, at, away = text.encode(), 0, set()
+        words = [(m.start(), m.end(), m.group()) for m in re.finditer(rb"[a-z0-9\x80-\xff]+", raw.lower())]
+        for p in range(len(words) - n + 1):
+            held = first.setdefault(tuple(w for *_, w in words[p : p + n]), (i, p))
+            if held[0] != i or p - held[1] >= n:
+                away |= set(range(p, p + n))
+        left = iter(re.findall(rb"[a-z0-9\x80-\xff]+", sentence_words[i][2].encode().lower()))
+        want[i] = (words, away, list(left))
+    for r in substring_dedup.substring_dedup(docs_of(spark, [(i, t, "en", "a") for i, t in docs])).collect():
+        words, away, by_sentences = want[r["doc_id"]]
+        text = dict(docs)[r["doc_id"]]
+        gone = [tuple(len(text[:int(x)].encode()) for x in s.split(":")) for s in r["removed"].split(",") if s]
+        stay = [k for k, (a, _, _) in enumerate(words) if not any(x <= a < y for x, y in gone)]
+        assert not away & set(stay)
+        assert re.findall(rb"[a-z0-9\x80-\xff]+", r["text"].encode().lower()) == [words[k][2] for k in stay]
+        if not away:
+            assert [words[k][2] for k in stay] == by_sentences
+        assert len(stay) <= len(by_sentences)
+        cut_inside += len(stay) < len(by_sentences)
+    assert cut_inside
+
+
 def test_op2_odd_rows(spark):
     df = odd_docs(spark)
     out = substring_dedup.substring_dedup(df).collect()
