@@ -6,7 +6,7 @@ of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import exact_dedup, langid, mixing, near_texts, packing
@@ -21,11 +21,23 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the one with the largest doc_id, of those with the same text."""
-    judged = exact_dedup.exact_dedup(docs)
-    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias("of"), "keep_id")
-    gone = gone.where(~eq((F.col("of"), F.col("keep_id")))).select("of")
-    return docs.join(gone, eq((docs["doc_id"], gone["of"])), "left_anti")
+    """Keeps one document, the one with the largest doc_id, of those with the same text; of several rows with that doc_id and text one."""
+    sha = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    judged = exact_dedup.exact_dedup(docs).where("group_size > 1")
+    # not the document that stays, or one of several rows with its doc_id and text
+    other = ~eq((F.col("doc_id"), F.col("keep_id")))
+    marks = judged.where(~F.col("kept")).select(F.col("doc_id").alias("of"), F.col("text_sha256").alias("of_sha"), other.alias("other")).distinct()
+    marks = cut(marks, "exact-marks")
+    same = eq((F.col("doc_id"), F.col("of"))) & (sha == F.col("of_sha"))
+    kept = docs.join(marks, same, "left_anti")
+    twins = marks.where(~F.col("other"))
+    if twins.limit(1).count():
+        order = [c for c, kind in docs.dtypes if c not in ("doc_id", "text") and not kind.startswith(("map", "variant"))]
+        nth = F.row_number().over(Window.partitionBy("doc_id", sha).orderBy(*(order or ["doc_id"])))
+        # the row's columns keep their names whatever they are
+        rows = docs.join(twins, same, "left_semi").select(F.struct(*docs.columns).alias("row"), nth.alias("nth")).where("nth = 1")
+        kept = kept.unionByName(rows.select("row.*"))
+    return kept
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 from graphloom.llm.common import table
 
-from .helpers import documents, odd_docs
+from .helpers import docs_of, documents, odd_docs
 from .test_dedup import jaccard_groups
 from .test_mix_chat_secret_pack import WORDS, filled
 
@@ -62,3 +62,20 @@ def test_stages_take_odd_rows(spark, small):
             out = stage(spark, df, small)
             assert name == "pack" or out.columns == df.columns
             assert (out.count() > 0) == (df.count() > 0), name
+
+
+def test_stages_judge_rows_that_share_ids(spark, small):
+    df = odd_docs(spark)
+    texts = defaultdict(list)
+    for r in df.collect():
+        texts[r["text"] or ""].append(r["doc_id"])
+    want = Counter((max((i for i in ids if i is not None), default=None), text) for text, ids in texts.items())
+    stages = dict(corpus_pipeline.STAGES)
+    assert Counter((r["doc_id"], r["text"] or "") for r in stages["exact"](spark, df, small).collect()) == want
+    copies = docs_of(spark, [(None, "one text", "en", "a"), (None, "one text", "fr", "b"), (None, "its own", "en", "a"), (None, "twin", "en", "a"), (3, "twin", "en", "a"), (4, "four", "en", "a"), (4, "four", "en", "b")])
+    assert Counter((r["doc_id"], r["text"]) for r in stages["exact"](spark, copies, small).collect()) == Counter([(None, "one text"), (None, "its own"), (3, "twin"), (4, "four")])
+
+    kept = stages["near"](spark, df, small)
+    got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert kept.columns == df.columns and got[6, "another text with that id"] == 1
+    assert got[6, "the same short text here"] == 1 and (7, "the same short text here") not in got
