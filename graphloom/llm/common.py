@@ -7,6 +7,7 @@ compressed, shared by all executors and survive the loss of any of them.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -64,10 +65,24 @@ def eq(*pairs: tuple[Column, Column]) -> Column:
     return out
 
 
-def map_arrow(
-    df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str
-) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def _give_back() -> None:
+    """Free memory of this Python worker goes back to the system: idle workers hold little."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow whose workers keep no free memory when a task ends."""
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, eq, small_enough
+from .common import cut, eq, map_arrow, small_enough
 
 #: Fingerprints that one filter takes before a task starts the next one.
 FILTER_ROWS = 1 << 20
@@ -134,7 +134,7 @@ def repeated_fingerprints(prints: DataFrame, rows: int) -> DataFrame:
         keys = keys | np.uint64(block << bits)
         return pa.table({"fp": pa.array(keys.view(np.int64)), "n": pa.array(counts)})
 
-    return prints.mapInArrow(build, "block long, filter binary").groupBy("block").applyInArrow(merge, "fp long, n long")
+    return map_arrow(prints, build, "block long, filter binary").groupBy("block").applyInArrow(merge, "fp long, n long")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 SAMPLE_ROWS, ROW_CHARS, SAMPLE_BYTES, MODEL_BYTES = 200, 2000, 32_768, 524_288
 PIECE = 256
 #: Bytes of text that are parsed at once.
@@ -198,6 +200,5 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             )
 
     kind = base.schema["doc_id"].dataType.simpleString()
-    return base.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(
-        run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, phrase_rate double"
-    )
+    rows = base.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
+    return map_arrow(rows, run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, phrase_rate double")

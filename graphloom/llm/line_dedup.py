@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, eq
+from .common import cut, eq, map_arrow
 
 MIN_CHARS, MIN_DOCS = 20, 3
 
@@ -54,7 +54,7 @@ def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
             )
 
     kind = docs.schema[0].dataType.simpleString()
-    return docs.mapInArrow(keys, f"h1 long, h2 long, doc_id {kind}")
+    return map_arrow(docs, keys, f"h1 long, h2 long, doc_id {kind}")
 
 
 def line_dedup(
@@ -100,4 +100,4 @@ def line_dedup(
 
     kind = base.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_lines long, n_dropped long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    return joined.mapInArrow(rebuild, schema)
+    return map_arrow(joined, rebuild, schema)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import cut
+from .common import cut, map_arrow
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -64,7 +64,7 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
                 ["doc_id", "fp", "keys", "shingles"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, fp long, keys array<long>, shingles binary")
+    return map_arrow(docs, run, "doc_id long, fp long, keys array<long>, shingles binary")
 
 
 def similar_forest(ids: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -131,7 +131,7 @@ def similar_links(made: DataFrame, similarity: float, distance: int) -> DataFram
                 sets.append(np.frombuffer(data, "<u4"))
         yield from links()
 
-    return full.mapInArrow(verify, "a long, b long")
+    return map_arrow(full, verify, "a long, b long")
 
 
 def near_groups(

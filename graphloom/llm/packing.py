@@ -18,14 +18,10 @@ other columns are ignored.
 from __future__ import annotations
 
 import os
-import re
-import sys
-import types
-import uuid
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, map_arrow
 
 WINDOW, END_ID, TOKENIZER = 2048, 1, "word_bpe_49k.json"
 #: A shard ends with whichever comes first.
@@ -44,10 +40,12 @@ QUERY_TERMS, NEIGHBOURS = 24, 32
 K1, B = 1.2, 0.75
 #: Keys that are sampled for each task's range.
 RANGE_SAMPLE = 60
-#: White-space-delimited strings whose ids a worker remembers during a run.
-CACHE = 1_000_000
+#: Ids that a task shall have on average, and tasks at most; a task holds one shard at a time, however many it has.
+TASK_IDS, MAX_TASKS = 1 << 26, 50_000
+#: Strings whose ids a task remembers.
+CACHE = 200_000
 #: Rows and bytes of text that are encoded together.
-PIECE_ROWS, PIECE_BYTES = 2048, 16 << 20
+PIECE_ROWS, PIECE_BYTES = 1024, 4 << 20
 
 
 def tokenizer_path() -> str:
@@ -56,95 +54,134 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
-_LETTERS = re.compile(rb"[a-z]+")
+def _byte_classes() -> np.ndarray:
+    """0 white space, 1 letters, 2 digits, 3 other signs of ASCII, 4 the apostrophe, 5 bytes beyond ASCII."""
+    kinds = np.full(256, 5, np.uint8)
+    kinds[:128] = 3
+    kinds[list(b" \t\n\v\f\r")], kinds[list(b"abcdefghijklmnopqrstuvwxyz")], kinds[list(b"0123456789")], kinds[ord("'")] = 0, 1, 2, 4
+    return kinds
+
+
+_KINDS = _byte_classes()
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Whether the tokenizer always begins anew between bytes of two classes: an apostrophe and bytes beyond ASCII may belong to either side.
+_PARTS = np.zeros((6, 6), bool)
+_PARTS[0, 1:] = _PARTS[1:, 0] = True
+_PARTS[1, 2:4] = _PARTS[2, 1:4] = _PARTS[3, 1:3] = True
+#: Strings that are one word to the tokenizer: letters, a digit or signs.
+_ONE_WORD = "^(?:[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[!-&(-/:-@\\[-`{-~]+)$"
 
 
 class ChunkTokenizer:
-    """Ids by ``tokenizers``, remembered for each string between ASCII white space, which no token spans.
+    """Ids by ``tokenizers``, remembered for each string between places where the tokenizer begins anew.
 
-    The ids of all known strings lie in one array; a string's number tells where.
+    These are ASCII white space and changes between letters (a to z and the
+    lower-case ones of Latin-1), digits and other signs of ASCII. The strings lie
+    in one array and the ids of all of them in another; a string's number tells
+    where. At most ``CACHE`` strings are remembered from call to call, the most
+    frequent ones, and only as long as the task runs.
     """
 
-    @classmethod
-    def of_worker(cls, path: str, run: str) -> ChunkTokenizer:
-        """The one of this Python process for a run: its tasks share what they have met, other runs start anew."""
-        held = sys.modules.setdefault("_loom_tokenizers", types.ModuleType("_loom_tokenizers")).__dict__
-        if held.get("run") != (path, run):
-            held.update(run=(path, run), state=vars(cls(path)))
-        out = cls.__new__(cls)
-        out.__dict__ = held["state"]
-        return out
-
     def __init__(self, path: str, end_id: int = END_ID):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        # a run of the letters a to z is one word to the tokenizer, so this shorter way gives the same ids
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer, self.plain.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        # a shorter way to the same ids for strings that are one word
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends_word = np.zeros(1 << 16, bool)
         self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-        # number 0 is the empty string, number 1 the end id
-        self.known: dict[bytes, int] = {b"": 0}
-        self.pool, self.starts, self.lengths, self.hits = np.array([end_id], "<u2"), np.array([0, 0]), np.array([0, 1]), np.zeros(2, np.int32)
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, each text's followed by the end id, and where each text's end."""
-        # the tokenizer lower-cases, but finds its special tokens before it does; Arrow's own kernel
-        # for it reads wrong bytes of sliced arrays
-        low = [t if b"<|" in t else t.lower() for t in texts]
-        words = pc.ascii_split_whitespace(pa.array(low, pa.large_binary()).view(pa.large_string()))
-        coded = words.flatten().dictionary_encode()
-        bounds = words.offsets.to_numpy()[1:]
-        numbers = self.numbers(coded.dictionary.cast(pa.large_binary()).to_pylist())
-        sequence = np.insert(numbers[coded.indices.to_numpy()], bounds, 1)
-        lengths = self.lengths[sequence]
-        upto = np.cumsum(lengths)
-        ids = self.pool[np.arange(upto[-1]) + np.repeat(self.starts[sequence] - upto + lengths, lengths)]
-        return ids, upto[bounds + np.arange(len(bounds))]
+        # number 0 is the end id; no text has a string of white space
+        self.known = pa.array([b" "], pa.large_binary())
+        self.pool, self.lengths, self.hits = np.array([end_id], "<u2"), np.array([1], np.int32), np.array([1], np.int64)
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a column, each text's followed by the end id, and where each text's end."""
+        column = column.cast(pa.large_binary()).fill_null(b"")
+        offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
+        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        pieces, of_text = self._pieces(column, data, offsets - offsets[0])
+        coded = pieces.dictionary_encode()
+        indices = coded.indices.to_numpy()
+        numbers = self.numbers(coded.dictionary, np.bincount(indices, minlength=len(coded.dictionary)))
+        bounds = np.searchsorted(of_text, np.arange(len(column)), side="right")
+        sequence = np.insert(numbers[indices], bounds, 0)
+        lengths, starts = self.lengths[sequence], (np.cumsum(self.lengths) - self.lengths)[sequence]
+        upto = np.cumsum(lengths, dtype=np.int64)
+        ids = self.pool[np.arange(upto[-1]) + np.repeat(starts - upto + lengths, lengths)]
+        ends = upto[bounds + np.arange(len(bounds))]
+        if len(self.known) > CACHE:
+            self.shrink()
+        return ids, ends
+
+    @staticmethod
+    def _pieces(column: pa.Array, data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """The strings of all texts, lower-cased, and the text that each is of."""
+        low = _LOWER[data]
+        kinds = _KINDS[low]
+        lead = np.flatnonzero(data[:-1] == 0xC3)  # the letters of Latin-1, but for the signs of multiplication and division
+        second = data[lead + 1]
+        letter = (second != 0x97) & (second != 0xB7)
+        lead, second = lead[letter], second[letter]
+        low[lead + 1] = np.where(second < 0x9F, second + 32, second)
+        kinds[lead] = kinds[lead + 1] = 1
+        begins = np.ones(len(low), bool)
+        begins[1:] = _PARTS[kinds[:-1], kinds[1:]] | ((kinds[:-1] == 2) & (kinds[1:] == 2))
+        # the tokenizer finds its special tokens before it lower-cases
+        for row in np.flatnonzero(pc.match_substring(column, "<|").to_numpy(zero_copy_only=False)):
+            a, b = offsets[row], offsets[row + 1]
+            low[a:b] = data[a:b]
+            space = kinds[a:b] == 0
+            begins[a + 1 : b] = space[1:] != space[:-1]
+        begins[offsets[offsets < len(low)]] = True
+        word = kinds != 0
+        first = np.flatnonzero(begins & word)
+        upto = np.cumsum(word, dtype=np.int32 if len(word) < 1 << 31 else np.int64)
+        ends = np.append(upto[first] - 1, upto[-1] if len(upto) else 0).astype(np.int64)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(low[word])])
+        return pieces, np.searchsorted(offsets, first, side="right") - 1
 
     def shrink(self) -> None:
-        """Keep what was met in several calls, and of that at most half of what can be kept."""
-        kept = np.flatnonzero(self.hits >= 2)
-        kept = kept[np.argsort(-self.hits[kept], kind="stable")[: CACHE // 2]]
-        mask = np.zeros(len(self.hits), bool)
-        mask[kept] = mask[:2] = True
-        place = np.where(mask, np.cumsum(mask) - 1, -1).tolist()
-        starts, self.lengths, self.hits = self.starts[mask], self.lengths[mask], self.hits[mask] // 2
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.pool = self.pool[np.arange(int(self.lengths.sum())) + np.repeat(starts - self.starts, self.lengths)]
-        self.known = {s: place[n] for s, n in self.known.items() if place[n] >= 0}
-
-    def numbers(self, strings: list[bytes]) -> np.ndarray:
-        out = np.fromiter(map(self.known.get, strings, repeat(-1)), np.int64, len(strings))
+        """Keep the strings that were met most often, half of what can be kept."""
+        kept = np.sort(np.append(0, 1 + np.argpartition(-self.hits[1:], CACHE // 2)[: CACHE // 2]))
+        starts, lengths = (np.cumsum(self.lengths) - self.lengths)[kept], self.lengths[kept]
+        upto = np.cumsum(lengths, dtype=np.int64)
+        self.pool = self.pool[np.arange(upto[-1]) + np.repeat(starts - upto + lengths, lengths)]
+        self.lengths, self.hits, self.known = lengths, self.hits[kept] // 2, self.known.take(pa.array(kept))
+
+    def numbers(self, strings: pa.Array, times: np.ndarray) -> np.ndarray:
+        """The number of each of some distinct strings, which were met some times."""
+        found = pc.index_in(strings, value_set=self.known)
+        out = found.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
         fresh = np.flatnonzero(out < 0)
-        if len(fresh) and len(self.known) + len(fresh) > CACHE:
-            self.shrink()
-            out = np.fromiter(map(self.known.get, strings, repeat(-1)), np.int64, len(strings))
-            fresh = np.flatnonzero(out < 0)
         if len(fresh):
-            new = [strings[i] for i in fresh]
-            letters = np.array([_LETTERS.fullmatch(s) is not None for s in new], bool)
-            pools, lengths, added = [self.pool], [self.lengths], []
-            for which, encode in ((letters, self._words), (~letters, self._strings)):
-                some = [new[i] for i in np.flatnonzero(which).tolist()]
-                added += some
-                for at in range(0, len(some), 4096):
-                    ids, ends = encode([s.decode() for s in some[at : at + 4096]])
-                    pools.append(ids)
-                    lengths.append(np.diff(ends, prepend=0))
-            self.pool, self.lengths = np.concatenate(pools), np.concatenate(lengths)
-            self.starts = np.cumsum(self.lengths) - self.lengths
-            self.known.update(zip(added, range(len(self.known) + 1, len(self.known) + 1 + len(added)), strict=True))
-            self.hits = np.concatenate([self.hits, np.zeros(len(added), np.int32)])
-            out[fresh] = [self.known[s] for s in new]
-        self.hits[out] += 1
+            new = strings.take(pa.array(fresh))
+            one = pc.match_substring_regex(new.view(pa.large_string()), _ONE_WORD).to_numpy(zero_copy_only=False)
+            words, others = np.flatnonzero(one), np.flatnonzero(~one)
+            pools, lengths = [self.pool], [self.lengths]
+            for at in range(0, len(words), 1 << 16):
+                ids, ends = self._words(new.take(pa.array(words[at : at + (1 << 16)])).view(pa.large_string()))
+                pools.append(ids)
+                lengths.append(np.diff(ends, prepend=0))
+            for at in range(0, len(others), 4096):
+                ids, ends = self._strings([s.decode("utf-8", "replace") for s in new.take(pa.array(others[at : at + 4096])).to_pylist()])
+                pools.append(ids)
+                lengths.append(np.diff(ends, prepend=0))
+            order = np.concatenate([words, others])
+            out[fresh[order]] = len(self.known) + np.arange(len(order))
+            self.pool, self.lengths = np.concatenate(pools), np.concatenate(lengths).astype(np.int32)
+            self.known = pa.concat_arrays([self.known, new.take(pa.array(order))])
+            self.hits = np.concatenate([self.hits, np.zeros(len(order), np.int64)])
+        self.hits[out] += times
         return out
 
-    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Single words, encoded as texts of many; each ends with an id that ends a word."""
-        encoded = self.plain.encode_batch([" ".join(words[at : at + 64]) for at in range(0, len(words), 64)], add_special_tokens=False)
+        edges = np.append(np.arange(0, len(words), 256), len(words))
+        lines = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(edges), words), pa.scalar(" ", pa.large_string()))
+        encoded = self.plain.encode_batch_fast(lines.to_pylist(), add_special_tokens=False)
         ids = np.fromiter(chain.from_iterable(e.ids for e in encoded), "<u2")
         return ids, np.flatnonzero(self.ends_word[ids]) + 1
 
@@ -168,20 +205,18 @@ def token_ids(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     Every task adds one row without ids: df is then the vector of its document frequencies.
     """
-    path, this_run = path or tokenizer_path(), uuid.uuid4().hex
+    path = path or tokenizer_path()
 
     def run(batches):
         tokenizer, kind = None, None
-        counts, seen = np.zeros((1 << 16) + 2, "<i8"), np.zeros(1 << 16, bool)
+        counts = np.zeros((1 << 16) + 2, "<i8")
         for batch in batches:
-            tokenizer, kind = tokenizer or ChunkTokenizer.of_worker(path, this_run), batch.column(0).type
+            tokenizer, kind = tokenizer or ChunkTokenizer(path), batch.column(0).type
             for rows in pieces(batch):
-                ids, ends = tokenizer.encode([t or b"" for t in rows.column(1).cast(pa.large_binary()).to_pylist()])
-                for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                    seen[ids[a:b]] = True
-                    own = np.flatnonzero(seen)
-                    counts[own] += 1
-                    seen[own] = False
+                ids, ends = tokenizer.encode(rows.column(1))
+                met = np.repeat(np.arange(len(ends), dtype=np.uint32) << np.uint32(16), np.diff(ends, prepend=0)) | ids
+                met.sort()
+                counts[: 1 << 16] += np.bincount(met[np.append(True, met[1:] != met[:-1])] & np.uint32(0xFFFF), minlength=1 << 16)
                 counts[DOCUMENTS] += len(ends)
                 counts[IDS] += len(ids)
                 offsets = np.concatenate([[0], ends * 2]).astype(np.int32)
@@ -200,7 +235,7 @@ def token_ids(docs: DataFrame, path: str | None = None) -> DataFrame:
             yield batch.slice(at, n)
             at += n
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema[0].dataType.simpleString()}, ids binary, df binary")
+    return map_arrow(docs, run, f"doc_id {docs.schema[0].dataType.simpleString()}, ids binary, df binary")
 
 
 def document_frequencies(tokens: DataFrame) -> np.ndarray:
@@ -215,7 +250,7 @@ def document_frequencies(tokens: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(terms.astype(np.int32)), pa.array(counts[terms])], ["term", "n"])
 
     out = np.zeros((1 << 16) + 2, np.int64)
-    for row in tokens.where("df is not null").select("df").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    for row in map_arrow(tokens.where("df is not null").select("df"), run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         out[row["term"]] = row["n"]
     return out
 
@@ -327,8 +362,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     tokens = cut(token_ids(docs.select(F.col(id_col), F.col(text_col)), path), "token-ids")
     df = document_frequencies(tokens)
     count, mean_length = int(df[DOCUMENTS]), float(df[IDS] or 1) / max(1, int(df[DOCUMENTS]))
-    df = df[: 1 << 16]
-    idf = np.log1p((count - df + 0.5) / (df + 0.5)).astype(np.float32)
+    idf = np.log1p((count - df[: 1 << 16] + 0.5) / (df[: 1 << 16] + 0.5)).astype(np.float32)
     idf[END_ID] = 0
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(idf)
@@ -349,11 +383,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(1)], ["key", "tie"])
 
     # the ranges of the tasks, from a sample of keys that is bounded by the number of tasks
-    tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), count // 64))
+    tasks = max(1, min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(df[IDS]) // TASK_IDS), MAX_TASKS, count // 64))
     share = min(1.0, tasks * RANGE_SAMPLE / max(1, count))
     chosen = F.pmod("tie", F.lit(1_000_003)) < share * 1_000_003  # by content, so that reruns agree
-    sampled = tokens.where(chosen).select("ids", "tie").mapInArrow(keys_only, "key long, tie long").collect()
-    sampled = sorted((r["key"], r["tie"]) for r in sampled)
+    sampled = map_arrow(tokens.where(chosen).select("ids", "tie"), keys_only, "key long, tie long").toArrow()
+    sampled = sorted(zip(sampled["key"].to_pylist(), sampled["tie"].to_pylist(), strict=True))
     bounds = spark.sparkContext.broadcast([sampled[i * len(sampled) // tasks] for i in range(1, tasks)] if sampled else [])
 
     def keyed(batches):
@@ -363,7 +397,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
             parts = [bisect_right(limits, pair) for pair in zip(keys, batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64()), pa.array(parts, pa.int32())], ["doc_id", "ids", "tie", "key", "part"])
 
-    near = tokens.mapInArrow(keyed, f"doc_id {kind}, ids binary, tie long, key long, part int")
+    near = map_arrow(tokens, keyed, f"doc_id {kind}, ids binary, tie long, key long, part int")
     near = near.repartitionById(tasks, "part").sortWithinPartitions("key", "tie")
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -399,4 +433,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
             yield rows()
 
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids binary" if with_ids else "")
-    return near.select("doc_id", "ids").mapInArrow(run, schema)
+    return map_arrow(near.select("doc_id", "ids"), run, schema)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, map_arrow
 
 KINDS = ("assign", "access", "hex", "owned")
 #: Owners from which on a value counts as a widely copied example.
@@ -108,7 +108,8 @@ def candidates(docs: DataFrame) -> DataFrame:
             )
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    return docs.mapInArrow(
+    return map_arrow(
+        docs,
         run,
         f"doc_id {kinds['doc_id']}, owner {kinds['owner']}, repo {kinds['repo']}, row long, n_assign long, n_access long, n_hex long, base_sha256 string, "
         "found array<struct<start:int,kind:int,end:int,h:long,check:long>>",

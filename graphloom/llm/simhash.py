@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_enough
+from .common import cut, map_arrow, small_enough
 from .components import components
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
             prints = [fingerprint(t, n) for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema[0].dataType.simpleString()}, fp long")
+    return map_arrow(docs, run, f"doc_id {docs.schema[0].dataType.simpleString()}, fp long")
 
 
 def _segments(widths=WIDTHS) -> list[tuple[int, int]]:
@@ -201,7 +201,7 @@ def linked_pairs(prints: DataFrame, distance: int = DISTANCE, widths=WIDTHS) ->
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return grouped.mapInArrow(link, "a long, b long")
+    return map_arrow(grouped, link, "a long, b long")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:

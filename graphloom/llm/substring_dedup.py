@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, eq, forget
+from .common import cut, eq, forget, map_arrow
 
 MIN_WORDS = 20
 #: Words of a stretch that is found wherever it begins, and of the part that stands for it.
@@ -185,7 +185,7 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
                     ["h", "doc_id", "lo", "hi"],
                 )
 
-    return docs.mapInArrow(run, f"h long, doc_id {docs.schema[0].dataType.simpleString()}, lo int, hi int")
+    return map_arrow(docs, run, f"h long, doc_id {docs.schema[0].dataType.simpleString()}, lo int, hi int")
 
 
 def _flat(column: pa.ListArray, *names: str) -> list[np.ndarray]:
@@ -210,7 +210,7 @@ def uncovered(anchors: DataFrame) -> DataFrame:
             at = np.searchsorted(first, lo, side="right")
             yield pa.RecordBatch.from_arrays([pa.array(h[np.append(-1, last)[at] < hi])], ["h"])
 
-    return anchors.mapInArrow(run, "h long").distinct()
+    return map_arrow(anchors, run, "h long").distinct()
 
 
 def passage_rows(docs: DataFrame) -> DataFrame:
@@ -229,7 +229,7 @@ def passage_rows(docs: DataFrame) -> DataFrame:
                     ["key", "anchor", "doc_id", "lo", "hi"],
                 )
 
-    return docs.mapInArrow(run, f"key long, anchor long, doc_id {docs.schema[0].dataType.simpleString()}, lo int, hi int")
+    return map_arrow(docs, run, f"key long, anchor long, doc_id {docs.schema[0].dataType.simpleString()}, lo int, hi int")
 
 
 def repeated_passages(base: DataFrame, again: DataFrame) -> DataFrame:
@@ -279,7 +279,7 @@ def span_rows(docs: DataFrame, min_words: int) -> DataFrame:
                 ["h1", "h2", "doc_id", "first", "last"],
             )
 
-    return docs.mapInArrow(run, f"h1 long, h2 long, doc_id {docs.schema[0].dataType.simpleString()}, first int, last int")
+    return map_arrow(docs, run, f"h1 long, h2 long, doc_id {docs.schema[0].dataType.simpleString()}, first int, last int")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -338,7 +338,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             )
 
     kind = base.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(rebuild, f"doc_id {kind}, n_sentences long, n_removed long, removed string, text string")
+    return map_arrow(joined, rebuild, f"doc_id {kind}, n_sentences long, n_removed long, removed string, text string")
 
 
 def _listed(column: pa.ListArray):

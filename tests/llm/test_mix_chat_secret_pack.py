@@ -1,11 +1,13 @@
 """Operators 6, 7, 8 and 10."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from graphloom.llm import chat, mixing, packing, queries, secrets, sql
@@ -236,15 +238,21 @@ def test_op10_odd_rows(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
-def test_op10_tokenizer_forgets(monkeypatch):
-    """The ids stay the same when the memory is full."""
-    monkeypatch.setattr(packing, "CACHE", 50)
-    tok = packing.ChunkTokenizer(packing.tokenizer_path())
+@pytest.mark.parametrize("cache", [50, 100_000])
+def test_op10_tokenizer_is_the_plain_one(monkeypatch, cache):
+    """The ids are those of the plain tokenizer for any signs, and stay the same when the memory is full."""
+    monkeypatch.setattr(packing, "CACHE", cache)
+    tok, rng = packing.ChunkTokenizer(packing.tokenizer_path()), random.Random(cache)
+    signs = [*"abcXYZ019'.,!<|>-_ \t\n\v\f\r\x1c\x00\x7f\x85\xa0éßÉÀÞ×÷ÿſİıΣσςﬁ①½٣中 \u0338\u0301\u200b—\U0001f642ǅ", "<|endoftext|>", "<|startoftext|>", "'s", "'ll", "e\u0301"]
+    words = ["don't", "it's", "École", "the", "Häuser", "1,000", "a.b", "x=y", "naïve", "ÜBER", "l'été"]
     texts = [f"word{i} été{i % 7}, <|endoftext|>Ab don't {i}" for i in range(200)] + ["", " "]
+    texts += ["".join(rng.choice(signs) for _ in range(rng.randrange(25))) for _ in range(4000)]
+    texts += ["".join(rng.choice(words) + rng.choice(["", " ", "'", ".", "\n", "é"]) for _ in range(rng.randrange(30))) for _ in range(500)]
     got = []
-    for at in range(0, len(texts), 9):
-        ids, ends = tok.encode([t.encode() for t in texts[at : at + 9]])
+    for at in range(0, len(texts), 90):
+        ids, ends = tok.encode(pa.array(texts[at : at + 90]))
         got += [x.tolist() for x in np.split(ids, ends[:-1])]
+        assert len(tok.known) <= cache + 1
     assert got == [[*e.ids, 1] for e in tok.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
