@@ -168,37 +168,48 @@ def learn(docs: DataFrame) -> CrossParser:
     return CrossParser({lang: b" ".join(texts)[:bound] for lang, texts in by_lang.items()})
 
 
+def _predictions(parser: CrossParser, texts: list[bytes]) -> list[tuple[str, float, float | None]]:
+    """(lang_pred, score, phrase_rate) of each text."""
+    out = []
+    for text, row in zip(texts, parser.phrases(texts), strict=True):
+        if not parser.langs or not (_LETTER.search(text) or any(c.isalpha() for c in text.decode("utf-8", "replace"))):
+            out.append(("und", 0.0, None))
+            continue
+        best = int(row.argmin())
+        others = np.delete(row, best)
+        out.append((parser.langs[best], 1.0 - float(row[best]) / float(others.min()) if len(others) else 1.0, float(row[best]) / len(text)))
+    return out
+
+
+def _learned(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> CrossParser:
+    return learn(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")))
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: CrossParser | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score and phrase_rate (phrases a symbol for the winner) of every row."""
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    if model is None:
-        model = learn(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")))
-    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
+    base = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model or _learned(docs, id_col, text_col, lang_col)))
 
     def run(batches):
         parser = CrossParser.of(shared.value)
         for batch in batches:
-            texts = [t or b"" for t in batch.column(2).cast(pa.large_binary()).to_pylist()]
-            known = np.array([bool(_LETTER.search(t)) or any(c.isalpha() for c in t.decode("utf-8", "replace")) for t in texts], bool)
-            known &= bool(parser.langs)
-            counts = parser.phrases(texts)
-            langs, scores, rates = [], [], []
-            for ok, row, text in zip(known, counts, texts, strict=True):
-                if not ok:
-                    langs.append("und")
-                    scores.append(0.0)
-                    rates.append(None)
-                    continue
-                best = int(row.argmin())
-                others = np.delete(row, best)
-                langs.append(parser.langs[best])
-                scores.append(1.0 - float(row[best]) / float(others.min()) if len(others) else 1.0)
-                rates.append(float(row[best]) / len(text))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())],
-                ["doc_id", "held_out", "lang_pred", "score", "phrase_rate"],
-            )
+            found = _predictions(parser, [t or b"" for t in batch.column(2).cast(pa.large_binary()).to_pylist()])
+            columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["doc_id", "held_out", "lang_pred", "score", "phrase_rate"])
 
     kind = base.schema["doc_id"].dataType.simpleString()
-    rows = base.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return map_arrow(rows, run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, phrase_rate double")
+    return map_arrow(base, run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, phrase_rate double")
+
+
+def told_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: CrossParser | None = None) -> DataFrame:
+    """The rows of ``docs``, as they are, whose language was told; each is judged by its own text."""
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model or _learned(docs, id_col, text_col, lang_col)))
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        parser = CrossParser.of(shared.value)
+        for batch in batches:
+            found = _predictions(parser, [t or b"" for t in batch.column(at).cast(pa.large_binary()).to_pylist()])
+            yield batch.filter(pa.array([lang != "und" for lang, _, _ in found], pa.bool_()))
+
+    return map_arrow(docs, run, docs.schema)

@@ -10,8 +10,9 @@ a spanning forest of each group's links goes on to the components.
 
 Defined results: texts with fewer words than a shingle have one shingle, texts
 without words are all similar to each other; null texts are empty; of a group
-the smallest doc_id stays, of several rows with it one; rows with a null doc_id always stay; an empty table
-gives an empty result; other columns are kept as they are.
+the row with the smallest doc_id stays, of several rows with it one, and one
+without a doc_id only where none has one; an empty table gives an empty result;
+other columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -144,15 +145,15 @@ def near_groups(
 
 
 def drop_near_texts(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each group of similar texts."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("again")).where("again is not null")
-    again = cut(ids.groupBy("again").count().where("count > 1").select("again"), "near-twins")
+    """``docs`` with one row of each group of similar texts."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("again"))
+    again = cut(ids.groupBy("again").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or again is null").select("again"), "near-twins")
     if not again.limit(1).count():
         gone = near_groups(docs, similarity=similarity).select(F.col("doc_id").alias("near_gone"))
         return docs.join(gone, docs["doc_id"].cast("long") == gone["near_gone"], "left_anti")
-    # rows that share a doc_id are judged by a number of their own; numbers are in the order of doc_id
+    # rows that share a doc_id or have none are judged by a number of their own; numbers are in the order of doc_id
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), "text")
-    rows = rows.orderBy("id", F.xxhash64("text")).withColumn("near_id", F.when(F.col("id").isNotNull(), F.monotonically_increasing_id()))
-    rows = cut(rows, "near-rows")
+    rows = rows.orderBy(F.col("id").asc_nulls_last(), F.xxhash64("text")).withColumn("near_id", F.monotonically_increasing_id())
+    rows = cut(rows.select("row", "near_id", "text"), "near-rows")
     gone = near_groups(rows, id_col="near_id", similarity=similarity).select(F.col("doc_id").alias("near_gone"))
     return rows.join(gone, F.col("near_id") == F.col("near_gone"), "left_anti").select("row.*")

@@ -11,7 +11,7 @@ OP6 = r"""
 with d as (
   select doc_id, source,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-         -ln((('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0)
+         -ln((('0x' || substr(md5(coalesce(doc_id::varchar, '') || ' ' || coalesce(text, '')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0)
            / case when q.mark > 0 then 2.0 when q.mark <= 0 then 0.5 else 1.0 end as key
   from documents left join (select doc_id as of_id, max(quality) as mark from labels group by 1) q on doc_id = of_id),
 t as (select source, sum(size)::bigint as source_size from d group by 1),

@@ -2,6 +2,8 @@
 
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from graphloom.llm.common import table
 
@@ -56,26 +58,47 @@ def test_every_stage_is_brute_force(spark, small, tmp_path):
     assert Counter(map(tuple, corpus_pipeline.run(spark, small).drop("sequence_id", "offset", "start", "length", "ids_crc32").distinct().collect())) == Counter({(r["doc_id"], r["doc_tokens"]): 1 for r in packed})
 
 
+ODDER = [
+    (6, "copy A of it", "en", "a"), (6, "copy A of it", "en", "a"), (7, "copy A of it", "en", "b"), (6, "text B alone", "en", "a"), (8, "copy C here", "en", "a"), (8, "copy C here", "fr", "b"),
+    (None, "one text", "en", "a"), (None, "one text", "fr", "b"), (None, "its own", "en", "a"), (None, "twin", "en", "a"), (3, "twin", "en", "a"), (9, "12345", "en", "a"), (9, "with letters", "en", "a"),
+]
+
+
 def test_stages_take_odd_rows(spark, small):
-    for name, stage in corpus_pipeline.STAGES:
-        for df in (odd_docs(spark), odd_docs(spark).limit(0)):
-            out = stage(spark, df, small)
-            assert name == "pack" or out.columns == df.columns
-            assert (out.count() > 0) == (df.count() > 0), name
-
-
-def test_stages_judge_rows_that_share_ids(spark, small):
-    df = odd_docs(spark)
-    texts = defaultdict(list)
-    for r in df.collect():
-        texts[r["text"] or ""].append(r["doc_id"])
-    want = Counter((max((i for i in ids if i is not None), default=None), text) for text, ids in texts.items())
+    """Each stage, over nulls, repeated and missing ids, repeated rows and other columns, against brute force with exact counts of rows."""
     stages = dict(corpus_pipeline.STAGES)
-    assert Counter((r["doc_id"], r["text"] or "") for r in stages["exact"](spark, df, small).collect()) == want
-    copies = docs_of(spark, [(None, "one text", "en", "a"), (None, "one text", "fr", "b"), (None, "its own", "en", "a"), (None, "twin", "en", "a"), (3, "twin", "en", "a"), (4, "four", "en", "a"), (4, "four", "en", "b")])
-    assert Counter((r["doc_id"], r["text"]) for r in stages["exact"](spark, copies, small).collect()) == Counter([(None, "one text"), (None, "its own"), (3, "twin"), (4, "four")])
-
-    kept = stages["near"](spark, df, small)
-    got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
-    assert kept.columns == df.columns and got[6, "another text with that id"] == 1
-    assert got[6, "the same short text here"] == 1 and (7, "the same short text here") not in got
+    for df in (odd_docs(spark), docs_of(spark, ODDER), odd_docs(spark).unionByName(docs_of(spark, ODDER)).withColumn("m_size", F.lit(5)).withColumn("words", F.lit("w"))):
+        rows = [(r["doc_id"], r["text"]) for r in df.collect()]
+        outs = {name: stage(spark, df, small) for name, stage in corpus_pipeline.STAGES}
+        assert all(outs[name].columns == df.columns for name in outs if name != "pack")
+        got = {name: Counter((r["doc_id"], r["text"]) for r in outs[name].collect()) for name in outs if name != "pack"}
+
+        assert got["language"] == Counter((i, t) for i, t in rows if any(c.isalpha() for c in t or ""))
+
+        texts = defaultdict(list)
+        for i, t in rows:
+            texts[t or ""].append((i is not None, i))
+        exact = Counter((max(ids, key=lambda x: (x[0], x[1] or 0))[1], t) for t, ids in texts.items())
+        assert Counter((i, t or "") for (i, t), n in got["exact"].items() for _ in range(n)) == exact
+
+        groups, near = jaccard_groups(rows), defaultdict(list)
+        for g, (i, t) in zip(groups, rows, strict=True):
+            near[g].append((i is None, i or 0, t))
+        assert sum(got["near"].values()) == len(near)
+        kept = sorted((i is None, i or 0) for i, _ in got["near"].elements())
+        assert kept == sorted(min(g, key=lambda x: x[:2])[:2] for g in near.values())
+        assert all(min(n, 1) and (i, t) in rows for (i, t), n in got["near"].items())
+
+        shares = Counter(r["doc_id"] for r in outs["mix"].collect())
+        assert set(shares) <= {i for i, t in rows if WORDS.search(t or "")}
+        assert Counter(r["doc_id"] for r in outs["pack"].collect() if r["start"] == 0) == Counter(i for i, _ in rows)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd_docs(spark).limit(0), small).count() == 0, name
+
+
+def test_mix_keeps_clashing_columns(spark, small):
+    df = docs_of(spark, [(i, "some words here", "en", "ab"[i % 2]) for i in range(10)])
+    for name in ("m_size", "m_words", "size", "words", "tie", "row", "taken", "epochs"):
+        odd = df.withColumn(name, F.lit("mine"))
+        out = dict(corpus_pipeline.STAGES)["mix"](spark, odd, small)
+        assert out.columns == odd.columns and {r[name] for r in out.collect()} == {"mine"}
