@@ -1,58 +1,77 @@
 """The training-data pipeline over ``documents``: five stages, each an operator of graphloom.llm.
 
 Each stage takes what its predecessor kept; all but the last return the columns
-of ``documents``.
+of ``documents``, and other ones as they are. An empty table gives an empty
+result in every stage.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import exact_dedup, langid, mixing, near_texts, packing
-from graphloom.llm.common import cut, eq, table
+from graphloom.llm.common import cut, eq, small_enough, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language was told; those without a letter (``und``) go."""
-    found = langid.identify(docs).select(F.col("doc_id").alias("of"), (F.col("lang_pred") != "und").alias("told"))
-    told = found.groupBy("of").agg(F.max("told").alias("told")).where("told").select("of")
-    return docs.join(told, eq((docs["doc_id"], told["of"])), "left_semi").where(F.col("text").isNotNull())
+    """Keeps the rows whose language was told; each is judged by its own text.
+
+    Rows with a null, empty or letterless text (``und``) go; repeated rows are
+    judged alike and all stay or go; where no language could be learned all go.
+    """
+    return langid.told_rows(docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the one with the largest doc_id, of those with the same text; of several rows with that doc_id and text one."""
+    """Keeps one row of those with the same text, one with the largest doc_id.
+
+    A null text counts as the empty text, a null doc_id is smaller than any
+    other; of several rows with that doc_id and text one stays, rows with the
+    same doc_id but different texts all stay.
+    """
     sha = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
     judged = exact_dedup.exact_dedup(docs).where("group_size > 1")
-    # not the document that stays, or one of several rows with its doc_id and text
+    # not the row that stays, or one of several rows with its doc_id and text
     other = ~eq((F.col("doc_id"), F.col("keep_id")))
     marks = judged.where(~F.col("kept")).select(F.col("doc_id").alias("of"), F.col("text_sha256").alias("of_sha"), other.alias("other")).distinct()
     marks = cut(marks, "exact-marks")
-    same = eq((F.col("doc_id"), F.col("of"))) & (sha == F.col("of_sha"))
-    kept = docs.join(marks, same, "left_anti")
+    # the rows' columns keep their names whatever they are
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), sha.alias("sha"))
+    same = eq((F.col("id"), F.col("of"))) & (F.col("sha") == F.col("of_sha"))
+    kept = rows.join(small_enough(marks), same, "left_anti").select("row.*")
     twins = marks.where(~F.col("other"))
     if twins.limit(1).count():
-        order = [c for c, kind in docs.dtypes if c not in ("doc_id", "text") and not kind.startswith(("map", "variant"))]
-        nth = F.row_number().over(Window.partitionBy("doc_id", sha).orderBy(*(order or ["doc_id"])))
-        # the row's columns keep their names whatever they are
-        rows = docs.join(twins, same, "left_semi").select(F.struct(*docs.columns).alias("row"), nth.alias("nth")).where("nth = 1")
-        kept = kept.unionByName(rows.select("row.*"))
+        # each task sends one row for each twin
+        order = F.xxhash64(*[c for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))])
+        rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), sha.alias("sha"), order.alias("order"))
+        one = rows.join(twins, same, "left_semi").groupBy("id", "sha").agg(F.min_by("row", "order").alias("row"))
+        kept = kept.unionByName(one.select("row.*"))
     return kept
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the one with the smallest doc_id, of each group of similar texts."""
+    """Keeps one row of each group of similar texts, the one with the smallest doc_id.
+
+    Rows are judged each on their own, whatever their doc_ids; texts without
+    words are similar to each other; of rows without a doc_id one stays where
+    the group has no other.
+    """
     return near_texts.drop_near_texts(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: documents repeated and cut to their shares, with n_chars of the text as it is then."""
+    """The mix of sources: documents repeated and cut to their shares, with n_chars of the text as it is then.
+
+    Texts without words have no share and go; a null source is a source of its
+    own; rows equal in doc_id, source and text are taken alike.
+    """
     mixed = mixing.mixed_documents(docs, table(spark, sf_dir, "labels"))
     return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packed sequences' pieces."""
+    """The packed sequences' pieces: every row on its own, a null text as its end id alone."""
     return packing.pack(docs, with_ids=False)
 
 
