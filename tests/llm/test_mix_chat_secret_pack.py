@@ -1,8 +1,10 @@
 """Operators 6, 7, 8 and 10."""
 
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -161,15 +163,69 @@ NASTY = [
 ]
 
 
+def plain_verdicts(rows):
+    """(all spans, counts of verdicts) of each (text, owner), by brute force: every row is a repository."""
+
+    def entropy(v):
+        return -sum(n / len(v) * math.log2(n / len(v)) for n in Counter(v).values())
+
+    def mixed(v):
+        return any("a" <= c <= "z" for c in v) and any("A" <= c <= "Z" for c in v) and any("0" <= c <= "9" for c in v) and entropy(v) >= 3.0
+
+    parsed, owners, repos = [], defaultdict(set), defaultdict(set)
+    for row, (text, owner) in enumerate(rows):
+        text = text or ""
+        found = [(m.start(), 0, m.end(), m[2]) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 6]
+        found += [(m.start(), 1, m.end(), m[0]) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+        found += [(m.start(), 2, m.end(), m[0]) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+        taken = np.zeros(len(text) + 1, bool)
+        for a, _, b, _ in found:
+            taken[a:b] = True
+        found += [(m.start(), 3, m.end(), m[0]) for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", text) if mixed(m[0]) and not taken[m.start() : m.end()].any()]
+        for _, _, _, v in found:
+            owners[v].add(owner)
+            repos[v].add(row)
+        parsed.append(sorted(found))
+    out = []
+    for found in parsed:
+        spans, verdicts = [], Counter()
+        for a, k, b, v in found:
+            live = entropy(v) >= 3.0 if k in (1, 2) else mixed(v)
+            verdict = "example" if len(owners[v]) >= 3 or len(repos[v]) >= 20 else "shared" if len(owners[v]) > 1 else "live" if live else "weak"
+            if k < 3 or verdict == "live":
+                spans.append(f"{['assign', 'access', 'hex', 'owned'][k]}:{a}:{b}")
+                verdicts[verdict] += 1
+        out.append((",".join(spans), *(verdicts[v] for v in ("example", "shared", "live", "weak"))))
+    return out
+
+
 def test_op8_is_brute_force(spark, small):
     docs = documents(small)
     got = {r["doc_id"]: r for r in queries.op8_secrets(spark, small).collect()}
     assert got.keys() == {d["doc_id"] for d in docs}
-    for d in docs:
-        a, b, c, sha, base = plain_secrets(d["text"])
+    for d, found in zip(docs, plain_verdicts([(d["text"], d["source"]) for d in docs]), strict=True):
         r = got[d["doc_id"]]
-        assert (r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) == (a, b, c, sha)
-        assert base <= set(r["spans"].split(","))
+        assert (r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) == plain_secrets(d["text"])[:4]
+        assert (r["spans"], r["n_example"], r["n_shared"], r["n_live"], r["n_weak"]) == found
+
+
+def test_op8_verdicts_are_brute_force(spark):
+    rng, values = random.Random(4), ["Q7w8E9r0T1y2U3i4O5p6AbCd", "Zx1Cv2Bn3Mq4Wl5Er6Ty7Ui8", "password=samevalue1", "AKIA" + "Q3" * 8, "token: Ab1" + "xYz9" * 4, "0123456789abcdef" * 2, "f" * 30]
+    values += [f"K{i}w8E9r0T1y2U3i4O5p6AbCd" for i in range(5)]
+    rows = [(k, " ".join([f"{rng.choice(values)}{rng.choice(['', ',', ' '])}" for _ in range(rng.randrange(6))]), "en", rng.choice("aab")) for k in range(60)]
+    rows += [(100 + k, f"key {values[7]}", "en", "z") for k in range(25)] + [(200, values[8], "en", "q"), (201, None, "en", None), (202, values[9], "en", None)]
+    got = Counter((r["doc_id"], r["spans"], r["n_example"], r["n_shared"], r["n_live"], r["n_weak"]) for r in secrets.secret_scan(docs_of(spark, rows)).collect())
+    assert got == Counter((r[0], *f) for r, f in zip(rows, plain_verdicts([(r[1], r[3]) for r in rows]), strict=True))
+
+
+def test_op8_is_linear_in_a_text():
+    def took(n):
+        text, start = "password=abcdef12 " * (n // 2) + "Q7w8E9r0T1y2U3i4O5p6AbCd " * n, time.process_time()
+        assert len(secrets.further_spans(text, secrets.base_spans(text))) == n
+        return time.process_time() - start
+
+    took(1000)
+    assert took(64_000) < 40 * max(took(4000), 0.005)
 
 
 def test_op8_odd_rows(spark):
