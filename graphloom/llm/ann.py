@@ -1,25 +1,28 @@
 """Approximate nearest neighbours by NN-descent and greedy graph search (operator 3).
 
-Nearness is the largest inner product. Vectors are lengthened by one component
-to a common norm, so that inner products order neighbours as distances do; for
-queries that component is zero. Equal vectors are one node of the graph.
+Nearness is the largest inner product, in the graph as in the result. Equal
+vectors are one node of the graph.
 
 The graph starts from blocks of a random-hyperplane order, several times over.
 Then each NN-descent round joins every node with its neighbours, in both
 directions, and lets the neighbours of a node become acquainted with each
 other: neighbours of neighbours are scored where they meet, and only pairs that
 improve a neighbour list go on. Rounds end when few lists improve. Queries walk
-the graph greedily: they expand the unexpanded nodes among the best found until
-none is left.
-
-Skew: of a node's reverse neighbours only the nearest ``REVERSE`` count, which
-Spark selects on the map side first; a hot node's forward links are spread by
-the skew join. ``measure`` gives the recall against brute force.
-
-Defined results: vectors that are null, of another length than most, zero, or
-that hold null or non-finite components take no part; a null vec_id takes no
-part; of rows with the same vec_id one, whichever, takes part; ties go to the
-smaller vec_id; an empty table gives an empty result; other columns are ignored.
+the graph greedily, along its links in both directions: they expand the
+unexpanded nodes among the best found until none is left.
+
+Skew: of a node's reverse neighbours only the nearest count (``REVERSE`` in a
+round, ``DEGREE`` in the search), which Spark selects on the map side first; a
+hot node's forward links are spread by the skew join. These bounds, and
+``POOL``, make the search approximate: ``recall`` measures it against
+``exact_nearest``, which compares a set of queries, in blocks, with all rows
+and may be called instead where every neighbour counts.
+
+Defined results: vectors that are null, of another length than most (of the
+shorter one if two are as common), zero, or that hold null or non-finite
+components take no part; a null vec_id takes no part; of rows with the same
+vec_id the one with the least vector takes part; ties go to the smaller vec_id;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,17 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_enough
+from .common import cut, forget, map_arrow, passing, small_enough
 
 #: Neighbours of a node, reverse neighbours that take part in a round.
 DEGREE, REVERSE = 24, 16
 #: Random orders that the graph starts from, rows compared with each other in one of them.
 ORDERS, BLOCK = 3, 128
 ROUNDS, STOP_SHARE = 6, 0.002
-#: Nodes that a query keeps, fixed entry nodes, steps of a search at most.
-POOL, ENTRIES, STEPS = 96, 24, 32
-#: Queries up to which their vectors are broadcast.
-FEW_QUERIES = 20_000
+#: Nodes that a query keeps, fixed entry nodes.
+POOL, ENTRIES = 128, 24
+#: Bytes of vectors of queries up to which they are broadcast, and queries that are compared with all rows at once.
+QUERY_BYTES, QUERY_BLOCK = 64 << 20, 2048
 SEED = 42
 
 
@@ -58,7 +61,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if common is None:
         return rows
-    return rows.where(F.size("v") == common["n"]).dropDuplicates(["vec_id"])
+    return rows.where(F.size("v") == common["n"]).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def nodes_of(rows: DataFrame, k: int) -> DataFrame:
@@ -68,14 +71,6 @@ def nodes_of(rows: DataFrame, k: int) -> DataFrame:
     return few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.col("ids")[0].alias("node"), "v", "ids")
 
 
-def lengthened(nodes: DataFrame) -> DataFrame:
-    """(node, x): float vectors of one norm."""
-    norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    top = nodes.agg(F.max(norm2).alias("m")).first()["m"] or 0.0
-    x = F.concat(F.col("v").cast("array<double>"), F.array(F.sqrt(F.greatest(F.lit(0.0), F.lit(top) - norm2))))
-    return nodes.select("node", x.cast("array<float>").alias("x"))
-
-
 def _best(order_by, of: str, k: int, edges: DataFrame) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy(of).orderBy(*order_by))
     return edges.withColumn("nth", nth).where(F.col("nth") <= k).drop("nth")
@@ -128,8 +123,8 @@ def initial_links(points: DataFrame, width: int, degree: int) -> DataFrame:
             a, b, s = (np.concatenate(c) for c in zip(*found, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s.astype(np.float32))], ["node", "nbr", "sim"])
 
-        ordered = points.mapInArrow(code, "node long, x array<float>, code long, along double").repartitionByRange("code", "along", "node")
-        links = ordered.sortWithinPartitions("code", "along", "node").select("node", "x").mapInArrow(link, "node long, nbr long, sim float")
+        ordered = map_arrow(points, code, "node long, x array<float>, code long, along double").repartitionByRange("code", "along", "node")
+        links = map_arrow(ordered.sortWithinPartitions("code", "along", "node").select("node", "x"), link, "node long, nbr long, sim float")
         out = links if out is None else out.unionByName(links)
     return out
 
@@ -190,7 +185,7 @@ def neighbour_graph(points: DataFrame, width: int, degree: int = DEGREE, rounds:
         )
         around = around.groupBy("of", "who").agg(F.max("fresh").alias("fresh"))
         around = cut(around, "ann-around").join(known, "who").select("of", "who", "fresh", "floor", "x")
-        met = around.repartition("of").sortWithinPartitions("of", "who").mapInArrow(meet, "node long, nbr long, sim float")
+        met = map_arrow(around.repartition("of").sortWithinPartitions("of", "who"), meet, "node long, nbr long, sim float")
         found = met.withColumn("fresh", F.lit(1)).unionByName(graph.withColumn("fresh", F.lit(0)))
         graph = cut(_kept(found, degree), "ann-graph")
         if (graph.agg(F.sum("fresh")).first()[0] or 0) <= STOP_SHARE * total:
@@ -206,50 +201,100 @@ def _score(candidates: DataFrame) -> DataFrame:
             a, b = (_matrix(batch.column(i)).astype(np.float64) for i in (2, 3))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.einsum("ij,ij->i", a, b))], ["query", "node", "score"])
 
-    return candidates.select("query", "node", "qv", "v").mapInArrow(run, "query long, node long, score double")
+    return map_arrow(candidates.select("query", "node", "qv", "v"), run, "query long, node long, score double")
 
 
-def graph_search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, pool: int = POOL, steps: int = STEPS) -> DataFrame:
+def graph_search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, width: int, pool: int = POOL) -> DataFrame:
     """(query, node, score): the best nodes found for each of ``queries`` (query, at, qv).
 
-    A search starts at the node ``at``, where the query has one, and at fixed entry nodes.
+    A search starts at the node ``at``, where the query has one, and at fixed
+    entry nodes. It ends, as a node that left the pool can't come back.
     """
     vectors = nodes.select("node", "v")
-    entries = nodes.select("node").orderBy(F.xxhash64("node"), "node").limit(ENTRIES)
-    starts = queries.where("at is not null").select("query", F.col("at").alias("node")).unionByName(
-        queries.select("query").join(F.broadcast(entries), how="cross") if ENTRIES else queries.select("query", F.col("at").alias("node")).limit(0)
-    ).distinct()
-    lists = cut(graph.groupBy("node").agg(F.collect_list("nbr").alias("nbrs")), "ann-lists")
-    wanted = small_enough(queries.select("query", "qv"), FEW_QUERIES)
+    entries = [r["node"] for r in nodes.select("node").orderBy(F.xxhash64("node"), "node").limit(ENTRIES).collect()]
+    fixed = F.array(*[F.lit(e).cast("long") for e in entries])
+    starts = queries.select("query", F.explode(F.array_distinct(F.array_compact(F.array_append(fixed, F.col("at"))))).alias("node"))
+    back = _best([F.desc("sim"), "node"], "nbr", DEGREE, graph).select(F.col("nbr").alias("node"), F.col("node").alias("nbr"))
+    both = graph.select("node", "nbr").unionByName(back)
+    lists = cut(both.groupBy("node").agg(F.collect_set("nbr").alias("nbrs")), "ann-lists")
+    wanted = small_enough(queries.select("query", "qv"), QUERY_BYTES // (8 * width + 32))
 
     def scored(pairs: DataFrame) -> DataFrame:
         return _score(pairs.join(vectors, "node").join(wanted, "query"))
 
     found = cut(scored(starts).withColumn("open", F.lit(1)), "ann-pool")
-    for _ in range(steps):
+    while found.where("open = 1").limit(1).count():
         ahead = found.where("open = 1").join(lists, "node").select("query", F.explode("nbrs").alias("node")).distinct()
         ahead = ahead.join(found.select("query", "node"), ["query", "node"], "left_anti")
         merged = found.withColumn("open", F.lit(0)).unionByName(scored(ahead).withColumn("open", F.lit(1)))
-        found = cut(_best([F.desc("score"), "node"], "query", pool, merged), "ann-pool")
-        if found.where("open = 1").limit(1).count() == 0:
-            break
+        before, found = found, cut(_best([F.desc("score"), "node"], "query", pool, merged), "ann-pool")
+        forget(before)
     return found.select("query", "node", "score")
 
 
-def nearest(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20) -> DataFrame:
-    """query_id, rank, vec_id and score: the k nearest found of each row whose id is divisible by ``every``."""
-    rows = cut(usable(vectors, id_col, vector_col), "ann-rows")
-    nodes = cut(nodes_of(rows, k), "ann-nodes")
-    one = nodes.select(F.size("v").alias("n")).first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if one is None:
-        return vectors.sparkSession.createDataFrame([], schema)
-    points = cut(lengthened(nodes), "ann-points")
-    graph = neighbour_graph(points, one["n"] + 1)
-    asked = rows.where(F.col("vec_id") % every == 0).withColumnRenamed("v", "qv")
-    queries = asked.join(nodes.select("v", "node"), F.col("qv") == F.col("v")).select(F.col("vec_id").alias("query"), F.col("node").alias("at"), "qv")
-    found = graph_search(nodes, graph, cut(queries, "ann-queries"), max(POOL, 2 * k + 1))
-    each = found.join(nodes.select("node", "ids"), "node").select("query", F.explode("ids").alias("vec_id"), "score").where("vec_id != query")
+SCHEMA = "query_id long, rank int, vec_id long, score double"
+
+
+def _ranked(each: DataFrame, k: int) -> DataFrame:
+    """The k best of (query, vec_id, score)."""
     top = _best([F.desc("score"), "vec_id"], "query", k, each)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     return top.select(F.col("query").alias("query_id"), rank.cast("int").alias("rank"), "vec_id", "score")
+
+
+def nearest(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20) -> DataFrame:
+    """query_id, rank, vec_id and score: the k nearest found of each row whose id is divisible by ``every``."""
+    with passing(vectors.sparkSession) as keep:
+        rows = cut(usable(vectors, id_col, vector_col), "ann-rows")
+        nodes = keep(cut(nodes_of(rows, k), "ann-nodes"))
+        one = nodes.select(F.size("v").alias("n")).first()
+        if one is None:
+            return vectors.sparkSession.createDataFrame([], SCHEMA)
+        points = cut(nodes.select("node", F.col("v").cast("array<float>").alias("x")), "ann-points")
+        graph = neighbour_graph(points, one["n"])
+        asked = rows.where(F.col("vec_id") % every == 0).withColumnRenamed("v", "qv")
+        queries = asked.join(nodes.select("v", "node"), F.col("qv") == F.col("v")).select(F.col("vec_id").alias("query"), F.col("node").alias("at"), "qv")
+        found = keep(cut(graph_search(nodes, graph, cut(queries, "ann-queries"), one["n"], max(POOL, 2 * k + 1)), "ann-found"))
+    each = found.join(nodes.select("node", "ids"), "node").select("query", F.explode("ids").alias("vec_id"), "score").where("vec_id != query")
+    return _ranked(each, k)
+
+
+def exact_nearest(vectors: DataFrame, queries: list[int], k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """The columns of ``nearest`` for some ids, by comparing blocks of them with all rows.
+
+    A task sends the k best of its rows for each query of a block.
+    """
+    rows = cut(usable(vectors, id_col, vector_col), "ann-rows")
+    spark, out = vectors.sparkSession, None
+    for at in range(0, len(queries), QUERY_BLOCK):
+        block = rows.where(F.col("vec_id").isin(queries[at : at + QUERY_BLOCK])).toArrow()
+        if not block.num_rows:
+            continue
+        shared = spark.sparkContext.broadcast((block["vec_id"].to_numpy(), _matrix(block["v"].combine_chunks()).astype(np.float64)))
+
+        def best(batches, shared=shared):
+            ids, wanted = shared.value
+            top, held = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+            for batch in batches:
+                own = batch.column(0).to_numpy()
+                for start in range(0, len(own), 512):
+                    part = own[start : start + 512]
+                    scores = np.einsum("ij,kj->ik", wanted, _matrix(batch.column(1).slice(start, 512)).astype(np.float64))
+                    scores[ids[:, None] == part[None, :]] = -np.inf
+                    scores, names = np.hstack([top, scores]), np.hstack([held, np.broadcast_to(part, scores.shape)])
+                    order = np.lexsort((names, -scores), axis=1)[:, :k]
+                    top, held = np.take_along_axis(scores, order, 1), np.take_along_axis(names, order, 1)
+            row, column = np.nonzero(top > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(held[row, column]), pa.array(top[row, column])], ["query", "vec_id", "score"])
+
+        found = map_arrow(rows.select("vec_id", "v"), best, "query long, vec_id long, score double")
+        out = found if out is None else out.unionByName(found)
+    return spark.createDataFrame([], SCHEMA) if out is None else _ranked(out, k)
+
+
+def recall(vectors: DataFrame, found: DataFrame, sample: int = 1000, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> float:
+    """The share of the true k nearest that ``found`` has, over a sample of its queries (by a hash of their ids)."""
+    asked = [r["query_id"] for r in found.select("query_id").distinct().orderBy(F.xxhash64("query_id"), "query_id").limit(sample).collect()]
+    truth = exact_nearest(vectors, asked, k, id_col, vector_col).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    hits = truth.join(found.select("query_id", "vec_id", F.lit(1).alias("got")), ["query_id", "vec_id"], "left")
+    return hits.agg(F.avg(F.coalesce("got", F.lit(0)).cast("double"))).first()[0] or 1.0

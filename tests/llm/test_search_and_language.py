@@ -4,6 +4,8 @@ import math
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from graphloom.llm import ann, langid, queries
@@ -44,6 +46,30 @@ def test_op3_recall_and_form(spark, small):
     assert hits >= 0.9 * 20 * len(want)
 
 
+@pytest.mark.parametrize("kind", ["gaussian", "clustered"])
+def test_op3_recall_on_many_vectors(spark, tmp_path, kind):
+    """Vectors without structure and in clusters, with the recall that the library measures and one by brute force."""
+    rng, n, width = np.random.default_rng(5), 20_000, 64
+    x = rng.standard_normal((n, width))
+    if kind == "clustered":
+        x = rng.standard_normal((100, width))[rng.integers(0, 100, n)] + 0.3 * x
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = x.astype(np.float32)
+    table = pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), width).cast(pa.list_(pa.float32()))})
+    pq.write_table(table, tmp_path / "v.parquet", row_group_size=2500)
+    df = spark.read.parquet(str(tmp_path / "v.parquet"))
+    ann.nearest(df).write.parquet(str(tmp_path / "found"))
+    found = spark.read.parquet(str(tmp_path / "found"))
+    for q in (0, 19_980):
+        scores = x.astype(np.float64) @ x[q].astype(np.float64)
+        scores[q] = -np.inf
+        assert [r["vec_id"] for r in ann.exact_nearest(df, [q]).orderBy("rank").collect()] == np.argsort(-scores)[:20].tolist()
+    assert found.count() == n
+    got = ann.recall(df, found, sample=400)
+    print("recall", kind, got)
+    assert got >= 0.9
+
+
 def test_op3_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (None, [9.0, 9.0]), (8, [1.0, 2.0, 3.0]), (9, [-1.0, 0.5]), (40, [0.0, 0.0])]
