@@ -27,6 +27,7 @@ class Value:
     col: Column
     kind: Kind
     computed: bool = False
+    text: str | None = None  # of a constant
 
     @property
     def tag(self) -> int | None:
@@ -56,7 +57,7 @@ class Compiler:
             return found or Value(F.lit(None).cast("string"), Lit(LITERAL))
         if isinstance(expr, Term):
             col, kind = constant(expr)
-            return Value(col, kind)
+            return Value(col, kind, text=expr.v)
         if not isinstance(expr, Call):
             raise QueryError(f"{expr} is no expression")
         if expr.op.startswith("<") and expr.op.endswith(">") and len(expr.op) > 2:
@@ -220,13 +221,29 @@ def is_literal(a: Value) -> Value:
     return _is_kind(a, lambda c: c["t"] != URI, lambda t: F.lit(False), True)
 
 
+def _compiles(pattern: str) -> bool:
+    from pyspark.sql import SparkSession
+
+    try:
+        SparkSession.active().sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+    except Exception:  # noqa: BLE001  whatever the JVM says of it, it is no pattern
+        return False
+    return True
+
+
 def regex(a: Value, pattern: Value, flags: Value | None = None) -> Value:
-    """Whether the text has a match; flags i, s, m, x."""
-    text, wanted = lexical(a.col, a.kind), lexical(pattern.col, pattern.kind)
+    """Whether the text has a match; flags i, s, m, x. Null where the pattern is none.
+
+    A constant pattern is tried when the query is planned, any other in its row.
+    """
+    text, wanted, known = lexical(a.col, a.kind), lexical(pattern.col, pattern.kind), pattern.text
     if flags is not None:
         given = lexical(flags.col, flags.kind)
         wanted = F.when(given == "", wanted).otherwise(F.concat(F.lit("(?"), given, F.lit(")"), wanted))
-    return _bool(F.rlike(text, wanted))
+        known = None if known is None or flags.text is None else f"(?{flags.text}){known}" if flags.text else known
+    if known is not None:
+        return _bool(F.rlike(text, F.lit(known)) if _compiles(known) else F.lit(None).cast("boolean"))
+    return _bool(F.rlike(text, F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), wanted)))
 
 
 def is_in(probe: Value, *values: Value) -> Value:

@@ -7,7 +7,7 @@ is known. Bags are kept: rows are never merged unless a query asks for it.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
-from itertools import count
+from itertools import combinations, count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,6 +76,37 @@ def _aligned(left: Relation, right: Relation) -> tuple[Relation, Relation, list[
     return left.recast(kinds), right.recast(kinds), shared, never
 
 
+#: Ways to split a join by which shared variables are unbound, up to which it is split.
+MOST_WAYS = 27
+
+
+def _states(rel: Relation, shared: list[str]) -> list[tuple[frozenset[str], Relation]]:
+    """The rows by which of the shared variables are unbound in them."""
+    may = [n for n in shared if rel.vars[n].nullable]
+    out = []
+    for size in range(len(may) + 1):
+        for unbound in combinations(may, size):
+            part = rel
+            for n in may:
+                col = F.col(rel.vars[n].column)
+                part = part.where(col.isNull() if n in unbound else col.isNotNull())
+            out.append((frozenset(unbound), part))
+    return out
+
+
+def _fresh(rel: Relation) -> Relation:
+    """The same rows in columns of other names, so that a table may meet itself."""
+    return rel.recast({})
+
+
+def _equal(left: Relation, right: Relation, names) -> Column | None:
+    out = None
+    for n in names:
+        test = F.col(left.vars[n].column) == F.col(right.vars[n].column)
+        out = test if out is None else out & test
+    return out
+
+
 def _compatible(left: Relation, right: Relation, shared: list[str]) -> Column | None:
     """Equality of the shared variables; an unbound one is compatible with anything."""
     out = None
@@ -109,28 +140,64 @@ def _merged(left: Relation, right: Relation, shared: list[str], joined: DataFram
 
 
 def join(left: Relation, right: Relation) -> Relation:
-    """Natural inner join; without a shared variable the product."""
+    """Natural inner join; without a shared variable the product.
+
+    Where shared variables may be unbound, rows are split by which of them are,
+    so that every part joins on the equality of those bound on both sides.
+    """
     a, b, shared, never = _aligned(left, right)
     if never:
         return empty(left.df.sparkSession, {n: x.kind for n, x in {**b.vars, **a.vars}.items()})
-    on = _compatible(a, b, shared)
-    joined = a.df.join(b.df, on, "inner") if on is not None else a.df.crossJoin(b.df)
-    return _merged(a, b, shared, joined, False)
+    ls, rs = _states(a, shared), _states(b, shared)
+    if len(ls) * len(rs) > MOST_WAYS:
+        return _merged(a, b, shared, a.df.join(b.df, _compatible(a, b, shared), "inner"), False)
+    parts = []
+    for lost, x in ls:
+        for gone, y in rs:
+            on = _equal(x, y, [n for n in shared if n not in lost | gone])
+            parts.append(_merged(x, y, shared, x.df.join(y.df, on, "inner") if on is not None else x.df.crossJoin(y.df), False))
+    return parts[0] if len(parts) == 1 else union(parts)
 
 
 def left_join(left: Relation, right: Relation, condition=None) -> Relation:
     """All rows of the left, with the right's where they are compatible and the condition holds.
 
-    condition: takes the scope of both sides and gives a column.
+    condition: takes the scope of both sides and gives a column. Where shared
+    variables may be unbound, rows are split as in ``join``.
     """
     a, b, shared, never = _aligned(left, right)
-    on = F.lit(False) if never else _compatible(a, b, shared)
-    if condition is not None and not never:
-        scope = {**b.scope(), **a.scope()}
-        extra = condition(scope)
-        on = extra if on is None else on & extra
-    joined = a.df.join(b.df, F.lit(True) if on is None else on, "left")
-    return _merged(a, b, shared, joined, True)
+
+    def test(x: Relation, y: Relation, names) -> Column | None:
+        if never:
+            return F.lit(False)
+        on = _equal(x, y, names)
+        if condition is not None:
+            extra = condition({**y.scope(), **x.scope()})
+            on = extra if on is None else on & extra
+        return on
+
+    ls, rs = _states(a, shared), _states(b, shared)
+    if len(ls) * len(rs) > MOST_WAYS:
+        on = _compatible(a, b, shared)
+        if condition is not None:
+            on = on & condition({**b.scope(), **a.scope()})
+        return _merged(a, b, shared, a.df.join(b.df, on, "left"), True)
+    parts = []
+    for lost, x in ls:
+        if len(rs) == 1:
+            on = test(x, b, [n for n in shared if n not in lost])
+            parts.append(_merged(x, b, shared, x.df.join(b.df, F.lit(True) if on is None else on, "left"), True))
+            continue
+        rest = x
+        for gone, y in rs:
+            names = [n for n in shared if n not in lost | gone]
+            on = test(x, y, names)
+            parts.append(_merged(x, y, shared, x.df.join(y.df, F.lit(True) if on is None else on, "inner"), True))
+            other = _fresh(y)
+            on = test(rest, other, names)
+            rest = replace(rest, df=rest.df.join(other.df, F.lit(True) if on is None else on, "left_anti"))
+        parts.append(replace(rest, vars={n: replace(v, nullable=v.nullable or n not in a.vars) for n, v in rest.vars.items()}))
+    return parts[0] if len(parts) == 1 else union(parts)
 
 
 def union(parts: list[Relation]) -> Relation:

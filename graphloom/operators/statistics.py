@@ -31,11 +31,15 @@ def term_of(slot: str) -> list:
     return [F.col(slot).alias("v"), F.lit(0).cast("tinyint").alias("t"), F.lit("").alias("st")]
 
 
-def join_partners(left: DataFrame, left_slot: str, right: DataFrame, right_slot: str) -> int:
-    """The exact size of the join of two sets of triples on a slot of each, from counts of each term."""
+def join_partner_counts(left: DataFrame, left_slot: str, right: DataFrame, right_slot: str) -> DataFrame:
+    """(partners): the exact size of the join of two sets of triples on a slot of each, from counts of each term."""
     a = left.select(*term_of(left_slot)).groupBy("v", "t", "st").agg(F.count(F.lit(1)).alias("a"))
     b = right.select(*term_of(right_slot)).groupBy("v", "t", "st").agg(F.count(F.lit(1)).alias("b"))
-    return int(a.join(b, ["v", "t", "st"]).agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0))).first()[0])
+    return a.join(b, ["v", "t", "st"]).agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0)).alias("partners"))
+
+
+def join_partners(left: DataFrame, left_slot: str, right: DataFrame, right_slot: str) -> int:
+    return int(join_partner_counts(left, left_slot, right, right_slot).first()[0])
 
 
 def join_selectivity(left: DataFrame, left_slot: str, right: DataFrame, right_slot: str) -> float:
@@ -51,8 +55,12 @@ def characteristic_sets(triples: DataFrame) -> DataFrame:
     return sets.groupBy("predicates").agg(F.count(F.lit(1)).alias("subjects"), F.sum("n").cast("long").alias("triples"))
 
 
-def star_cardinality(triples: DataFrame, predicates: list[str]) -> int:
-    """How many subjects have all of the predicates, by characteristic sets."""
+def star_counts(triples: DataFrame, predicates: list[str]) -> DataFrame:
+    """(star): how many subjects have all of the predicates, by characteristic sets."""
     sets = characteristic_sets(triples)
     wanted = F.size(F.array_except(F.array(*[F.lit(p) for p in predicates]), F.col("predicates"))) == 0
-    return int(sets.where(wanted).agg(F.coalesce(F.sum("subjects"), F.lit(0))).first()[0])
+    return sets.where(wanted).agg(F.coalesce(F.sum("subjects"), F.lit(0)).alias("star"))
+
+
+def star_cardinality(triples: DataFrame, predicates: list[str]) -> int:
+    return int(star_counts(triples, predicates).first()[0])

@@ -19,9 +19,9 @@ from pyspark.sql.types import _parse_datatype_string
 
 from ..functions.expressions import Compiler, ScalarFunction
 from ..operators.relations import Binding, Relation, column_name, join, left_join, require_equal, singleton, union
-from ..sources.base import Source
-from ..terms import LITERAL, NATIVE, Dyn, Iri, Lit, Term, as_term, constant, lexical, native_type, shown, term_text
-from .algebra import Group, Pattern, Query, TableFunction, Var, variables
+from ..sources.base import Kinds, Source, Unit
+from ..terms import LITERAL, NATIVE, Dyn, Iri, Lit, Term, as_term, constant, disjoint, lexical, native_type, shown, term_text
+from .algebra import Group, Query, TableFunction, Var, variables
 from .parser import QueryError
 
 
@@ -39,6 +39,16 @@ class Registry:
     table: dict[str, TableFunctionDef] = field(default_factory=dict)
 
 
+def _known(known: Kinds | None, parts: list[Relation]) -> Kinds:
+    """What is known of variables where the parts are joined as well."""
+    out = dict(known or {})
+    for part in parts:
+        for n, b in part.vars.items():
+            if not b.nullable and not isinstance(b.kind, Dyn):
+                out[n] = [k for k in out[n] if not disjoint(k, b.kind)] if n in out else [b.kind]
+    return out
+
+
 class Planner:
     def __init__(self, source: Source, registry: Registry | None = None):
         self.source, self.registry = source, registry or Registry()
@@ -46,32 +56,34 @@ class Planner:
 
     # groups
 
-    def ordered(self, patterns: list[Pattern]) -> list[Pattern]:
+    def ordered(self, units: list[Unit]) -> list[Unit]:
         """Greedy: the smallest estimate first, then the smallest of those that share a variable."""
-        if len(patterns) < 2:
-            return patterns
-        cost = {id(p): self.source.estimate(p) for p in patterns}
-        left, out, bound = list(patterns), [], set()
+        if len(units) < 2:
+            return units
+        cost = {id(u): self.source.estimate(u) for u in units}
+        left, out, bound = list(units), [], set()
         while left:
-            near = [p for p in left if bound & {n.name for n in p.nodes if isinstance(n, Var)}] or left
-            best = min(near, key=lambda p: cost[id(p)])
+            near = [u for u in left if bound & u.names] or left
+            best = min(near, key=lambda u: cost[id(u)])
             left.remove(best)
             out.append(best)
-            bound |= {n.name for n in best.nodes if isinstance(n, Var)}
+            bound |= best.names
         return out
 
-    def group(self, g: Group) -> Relation:
-        return self.filtered(self.unfiltered(g), g.filters)
+    def group(self, g: Group, known: Kinds | None = None) -> Relation:
+        return self.filtered(self.unfiltered(g, known), g.filters)
 
     def filtered(self, rel: Relation, filters) -> Relation:
         for f in filters:
             rel = rel.where(Compiler(rel.scope(), self.registry.scalar).condition(f))
         return rel
 
-    def unfiltered(self, g: Group) -> Relation:
-        parts = [self.source.match(p) for p in self.ordered(g.patterns)]
-        parts += [union([self.group(x) for x in branch]) for branch in g.unions]
-        parts += [self.gjoin(branch) for branch in g.gjoins]
+    def unfiltered(self, g: Group, known: Kinds | None = None) -> Relation:
+        """known: kinds of variables that the group's result is joined on, bound in every row of the other side."""
+        parts = [self.source.read(u) for u in self.ordered(self.source.units(g.patterns, known))]
+        inner = _known(known, parts)
+        parts += [union([self.group(x, inner) for x in branch]) for branch in g.unions]
+        parts += [self.gjoin(branch, inner) for branch in g.gjoins]
         rel = None
         while parts:  # connected parts first; a product only where nothing is shared
             at = next((i for i, p in enumerate(parts) if rel is not None and set(p.vars) & set(rel.vars)), 0)
@@ -80,19 +92,19 @@ class Planner:
         rel = rel or singleton(self.spark)
         for fn in g.functions:
             rel = self.table_function(rel, fn)
-        for inner in g.optionals:
-            rel = self.optional(rel, inner)
+        for optional in g.optionals:
+            rel = self.optional(rel, optional, _known(known, [rel]))
         return rel
 
-    def gjoin(self, groups: list[Group]) -> Relation:
-        rel = self.group(groups[0])
+    def gjoin(self, groups: list[Group], known: Kinds | None = None) -> Relation:
+        rel = self.group(groups[0], known)
         for g in groups[1:]:
-            rel = join(rel, self.group(g))
+            rel = join(rel, self.group(g, _known(known, [rel])))
         return rel
 
-    def optional(self, rel: Relation, g: Group) -> Relation:
+    def optional(self, rel: Relation, g: Group, known: Kinds | None = None) -> Relation:
         """Filters that need a variable of the outer group are part of the join's condition."""
-        inner = self.unfiltered(g)
+        inner = self.unfiltered(g, known)
         own = [f for f in g.filters if variables(f) <= set(inner.vars)]
         inner = self.filtered(inner, own)
         outer = [f for f in g.filters if f not in own]

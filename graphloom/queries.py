@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .engine import Engine
 from .operators.relations import Binding, Relation
-from .operators.statistics import characteristic_sets, join_partners, pattern_counts, star_cardinality
+from .operators.statistics import characteristic_sets, join_partner_counts, pattern_counts, star_counts
 from .plans.algebra import Pattern, Var
 from .scratch import scratch_path
 from .sources.dictionary import build_dictionary, decode, encode
@@ -186,7 +186,7 @@ SELECTS: dict[str, tuple[str, str]] = {
     "filter_in_iri": ("select ?c where { ?c <c_nationkey> ?n . filter(in(?n, <nation/1>, <nation/2>, <region/1>)) }", "select 'customer/' || c_custkey as c from customer where c_nationkey in (1, 2)"),
     "filter_lt": ("select ?p where { ?p <p_size> ?s . filter(?s < 3) }", "select 'part/' || p_partkey as p from part where p_size < 3"),
     "filter_le": ("select ?p where { ?p <p_size> ?s . filter(?s <= 3) }", "select 'part/' || p_partkey as p from part where p_size <= 3"),
-    "filter_gt": ("select ?p ?s where { ?p <p_retailprice> ?s . filter(?s > 1900.5) }", "select 'part/' || p_partkey as p, p_retailprice as s from part where p_retailprice > 1900.5"),
+    "filter_gt": ("select ?p ?s where { ?p <p_retailprice> ?s . filter(?s > 915.25) }", "select 'part/' || p_partkey as p, p_retailprice as s from part where p_retailprice > 915.25"),
     "filter_ge": ("select ?p where { ?p <p_size> ?s . filter(?s >= 48) }", "select 'part/' || p_partkey as p from part where p_size >= 48"),
     "filter_date": (
         "select count ?s where { ?o <o_orderdate> ?d ; <o_orderstatus> ?s . filter(?d >= 1996Y01M01D && ?d < 1996Y07M01D) }",
@@ -214,10 +214,11 @@ SELECTS: dict[str, tuple[str, str]] = {
     "fn_bound": ("select ?d where { ?d <lang> \"en\" optional { ?d <toxic> ?t } filter(bound(?t)) }", "select 'document/' || doc_id as d from documents join labels using (doc_id) where lang = 'en'"),
     "fn_sameterm": ("select ?a ?b where { ?a <n_regionkey> ?r . ?b <n_regionkey> ?q . filter(sameterm(?r, ?q) && ?a != ?b) }", "select 'nation/' || a.n_nationkey as a, 'nation/' || b.n_nationkey as b from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_nationkey <> b.n_nationkey"),
     "fn_isiri": ("select count ?p where { <order/7> ?p ?v . filter(isiri(?v)) }", "select p, count(*) as count from (select 'o_custkey' as p from orders where o_orderkey = 7 union all select 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' from orders where o_orderkey = 7 union all select 'hasPart' from (select distinct l_partkey from lineitem where l_orderkey = 7) a union all select 'hasSupplier' from (select distinct l_suppkey from lineitem where l_orderkey = 7) b) u group by 1"),
-    "fn_isblank": ("select ?s where { ?s <r_name> ?v . filter(isblank(?s)) }", "select 'x' as s where false"),
+    "fn_isblank": ("select ?s where { ?s <r_name> ?v . filter(!isblank(?s)) }", "select 'region/' || r_regionkey as s from region"),
     "fn_isliteral": ("select count ?p where { <nation/7> ?p ?v . filter(isliteral(?v)) }", "select 'n_name' as p, count(*) as count from nation where n_nationkey = 7 group by 1"),
-    "fn_regex": ("select ?d where { ?d <text> ?t . filter(regex(str(?t), \"PASSWORD|secret\", \"i\")) }", "select 'document/' || doc_id as d from documents where regexp_matches(text, 'PASSWORD|secret', 'i')"),
-    "fn_regex_plain": ("select ?p where { ?p <p_type> ?t . filter(regex(?t, \"BRASS$\")) }", "select 'part/' || p_partkey as p from part where regexp_matches(p_type, 'BRASS$')"),
+    "fn_regex": ("select ?d where { ?d <text> ?t . filter(regex(str(?t), \"LICENSE|akia[0-9a-z]\", \"i\")) }", "select 'document/' || doc_id as d from documents where regexp_matches(text, 'LICENSE|akia[0-9a-z]', 'i')"),
+    "fn_regex_bad_pattern": ("select ?n where { ?n <n_name> ?t . filter(regex(?t, \"(\") || regex(?t, \"9$\") || regex(?t, ?t)) }", "select 'nation/' || n_nationkey as n from nation"),
+    "fn_regex_plain": ("select ?p where { ?p <p_type> ?t . filter(regex(?t, \"^S.*D$|OMY$\")) }", "select 'part/' || p_partkey as p from part where regexp_matches(p_type, '^S.*D$|OMY$')"),
     # shapes of published query sets
     "shape_count_types": ("select count ?t where { ?x a ?t }", "select t, count(*) as count from (select 'Region' as t from region union all select 'Nation' from nation union all select 'Customer' from customer union all select 'Supplier' from supplier union all select 'Part' from part union all select 'Order' from orders union all select 'Lineitem' from (select distinct l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem) l union all select 'Document' from documents union all select 'Page' from pages union all select 'Item' from benchmark) u group by 1"),
     "shape_star_with_in": (
@@ -252,11 +253,24 @@ def select(text: str) -> Query:
     return lambda spark, sf_dir: engine(spark, sf_dir).query(text)
 
 
+#: Predicates of the graph that the store's queries are over, as SQL.
+GRAPH = {
+    "n_name": "select 'nation/' || n_nationkey as s, 'n_name' as p, n_name as o from nation",
+    "n_regionkey": "select 'nation/' || n_nationkey, 'n_regionkey', 'region/' || n_regionkey from nation",
+    "r_name": "select 'region/' || r_regionkey, 'r_name', r_name from region",
+    "c_nationkey": "select 'customer/' || c_custkey, 'c_nationkey', 'nation/' || c_nationkey from customer",
+    "c_mktsegment": "select 'customer/' || c_custkey, 'c_mktsegment', c_mktsegment from customer",
+    "o_custkey": "select 'order/' || o_orderkey, 'o_custkey', 'customer/' || o_custkey from orders",
+    "o_orderstatus": "select 'order/' || o_orderkey, 'o_orderstatus', o_orderstatus from orders",
+    "hasPart": "select distinct 'order/' || l_orderkey, 'hasPart', 'part/' || l_partkey from lineitem",
+}
+
+
 def _geography(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The triples of three small predicates, materialised."""
+    """The triples of some predicates of nations, customers, orders and line items, materialised."""
     source = engine(spark, sf_dir).source
     out = None
-    for p in ("n_name", "n_regionkey", "r_name"):
+    for p in GRAPH:
         rel = source.match(Pattern(Var("s"), Term(p, URI), Var("o")))
         own = TripleSource(spark, from_source(_One(spark, rel, p)), unique=True).df
         out = own if out is None else out.unionByName(own)
@@ -342,8 +356,77 @@ def pair_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def join_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _geography(spark, sf_dir)
-    a, b = g.where("p = 'n_regionkey'"), g.where("p = 'r_name'")
-    return spark.createDataFrame([(join_partners(a, "o", b, "s"), star_cardinality(g, ["n_name", "n_regionkey"]))], "partners long, star long")
+    orders, customers = g.where("p = 'o_custkey'"), g.where("p = 'c_mktsegment'")
+    partners = join_partner_counts(orders, "o", customers, "s").select(F.col("partners").cast("long").alias("partners"))
+    return partners.crossJoin(star_counts(g, ["o_custkey", "hasPart"]).select(F.col("star").cast("long").alias("star")))  # of one row each
+
+
+_SHIFT = '<order/1> <o_orderstatus> "X" . <order/2> <o_orderstatus> "O" . <order/1000000000> <o_orderstatus> "X" , "Y" .'
+_LOSS = "".join(f'<order/{i}> <o_orderstatus> "{x}" . ' for i in range(3, 40) for x in "FOP")
+
+
+def _shifted(spark: SparkSession, sf_dir: str):
+    """A store with a committed and a pending change of orders' states."""
+    e = _changed(spark, sf_dir)
+    e.insert_data(_SHIFT)
+    e.store.commit()
+    e.delete_data(_LOSS)
+    return e
+
+
+def delta_count_object(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shifted(spark, sf_dir).query("select count ?st where { ?o <o_orderstatus> ?st }")
+
+
+def delta_count_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shifted(spark, sf_dir).query("select count ?p where { ?s ?p ?o }")
+
+
+def delta_count_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shifted(spark, sf_dir).query("select duplicates ?s where { ?s <o_orderstatus> ?st }")
+
+
+def delta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shifted(spark, sf_dir).query('select count ?seg where { ?o <o_orderstatus> "O" . ?o <o_custkey> ?c . ?c <c_mktsegment> ?seg }')
+
+
+def rendered_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results in N-Triples syntax."""
+    return engine(spark, sf_dir).query("select ?s ?n ?r ?b where { ?s <s_name> ?n ; <s_nationkey> ?r ; <s_acctbal> ?b . filter(?b < 0) }", "terms")
+
+
+_BLANKS = '''@prefix x: <urn:x:> . @prefix xsd: <http://www.w3.org/2001/XMLSchema#> . @base <http://base.org/a/> .
+_:a x:knows _:b . _:b x:name "Bo"@en , "Bo"@de ; x:age 5 . x:c x:knows _:a ; x:name """a long
+"name\\"""" ; x:when "soon"^^x:time ; x:list ( 1 x:two ) . <rel> x:name "rel" .'''
+
+
+def _blanks(spark: SparkSession):
+    return Engine(TripleSource(spark, turtle_frame(spark, _BLANKS)))
+
+
+def blank_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled blank nodes in data and query, declared prefixes and isBLANK."""
+    return _blanks(spark).query("prefix x: <urn:x:> select ?n where { _:k x:knows ?b . ?b x:name ?n . filter(isblank(?b)) }")
+
+
+def tagged_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _blanks(spark).query('prefix x: <urn:x:> select ?s where { { _:q x:name "Bo"@de . _:q x:age ?s } union { ?s x:when "soon"^^<urn:x:time> } union { ?s x:name "rel" . filter(!false) } }')
+
+
+def collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _blanks(spark).query("prefix x: <urn:x:> prefix r: <http://www.w3.org/1999/02/22-rdf-syntax-ns#> select ?a ?b where { x:c x:list ?l . ?l r:first ?a ; r:rest ?m . ?m r:first ?b ; r:rest r:nil }")
+
+
+def anonymous_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine(spark, sf_dir).query("select count ?c where { ?c [] <nation/3> }")
+
+
+def unbound_order_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine(spark, sf_dir).query("select ?r ?none where { ?r <r_name> ?x } order by ?none ?r")
+
+
+def merged_braces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine(spark, sf_dir).query('select ?n where { { ?n <n_regionkey> ?r . { ?r <r_name> "ASIA" } } }')
 
 
 def dictionary_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -383,7 +466,11 @@ def subst_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-_GEO = "(select 'nation/' || n_nationkey as s, 'n_name' as p, n_name as o from nation union all select 'nation/' || n_nationkey, 'n_regionkey', 'region/' || n_regionkey from nation union all select 'region/' || r_regionkey, 'r_name', r_name from region)"
+_GEO = "(" + " union all ".join(GRAPH.values()) + ")"
+_STATES = (
+    "(select 'order/' || o_orderkey as s, o_orderstatus as st from orders where o_orderkey not between 3 and 39"
+    " union select 'order/1', 'X' union select 'order/2', 'O' union select 'order/1000000000', 'X' union select 'order/1000000000', 'Y')"
+)
 OTHERS: dict[str, tuple[Query, str | None]] = {
     "materialised_join": (materialised_join, "select r_name as rn, count(*) as count from nation join region on n_regionkey = r_regionkey group by 1"),
     "materialised_variable_predicate": (materialised_variable_predicate, f"select p, count(*) as count from {_GEO} g group by 1"),
@@ -391,12 +478,26 @@ OTHERS: dict[str, tuple[Query, str | None]] = {
     "delta_delete": (delta_delete, "select 'nation/' || n_nationkey as n, n_name as name from nation where n_nationkey <> 1"),
     "delta_rollback": (delta_rollback, "select 'nation/' || n_nationkey as n, n_name as name from nation"),
     "version_as_of": (version_as_of, f"select v::bigint as version, n + d as triples from (select count(*) as n from {_GEO} g) a, (values (0, 0), (1, 1), (2, -1), (3, 0)) b(v, d)"),
-    "schema_charsets": (schema_charsets, f"select predicates, count(*) as subjects, sum(n)::bigint as triples from (select s, string_agg(p, ',' order by p) as predicates, count(*) as n from {_GEO} g group by 1) x group by 1"),
+    "schema_charsets": (schema_charsets, f"select predicates, count(*) as subjects, sum(n)::bigint as triples from (select s, string_agg(p, ',' order by p) as predicates, sum(n) as n from (select s, p, count(*) as n from {_GEO} g group by 1, 2) y group by 1) x group by 1"),
     "pred_stats": (pred_stats, f"select p, count(*) as count from {_GEO} g group by 1"),
     "pair_stats": (pair_stats, f"select p, o, count(*) as count from {_GEO} g group by 1, 2"),
-    "join_stats": (join_stats, "select (select count(*) from nation join region on n_regionkey = r_regionkey) as partners, (select count(*) from nation) as star"),
+    "join_stats": (join_stats, "select (select count(*) from orders join customer on o_custkey = c_custkey) as partners, (select count(*) from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey)) as star"),
     "dictionary_round_trip": (dictionary_round_trip, f"select s, p, o from {_GEO} g"),
     "ntriples_round_trip": (ntriples_round_trip, f"select s, p, o from {_GEO} g"),
+    "delta_count_object": (delta_count_object, f"select st, count(*) as count from {_STATES} x group by 1"),
+    "delta_count_predicate": (delta_count_predicate, f"select p, count(*) as count from (select p from {_GEO} g where p <> 'o_orderstatus' union all select 'o_orderstatus' from {_STATES} x) y group by 1"),
+    "delta_count_subject": (delta_count_subject, f"select s, count(*) as count from {_STATES} x group by 1 having count(*) > 1"),
+    "delta_join": (delta_join, f"select c_mktsegment as seg, count(*) as count from {_STATES} x join orders on s = 'order/' || o_orderkey join customer on o_custkey = c_custkey where st = 'O' group by 1"),
+    "rendered_terms": (
+        rendered_terms,
+        "select '<supplier/' || s_suppkey || '>' as s, '\"' || s_name || '\"' as n, '<nation/' || s_nationkey || '>' as r, '\"' || s_acctbal || '\"^^<http://www.w3.org/2001/XMLSchema#double>' as b from supplier where s_acctbal < 0",
+    ),
+    "blank_nodes": (blank_nodes, "select n from (values ('Bo'), ('Bo')) v(n)"),
+    "tagged_constants": (tagged_constants, "select s from (values ('5'), ('urn:x:c'), ('http://base.org/a/rel')) v(s)"),
+    "collections": (collections, "select '1' as a, 'urn:x:two' as b"),
+    "anonymous_predicate": (anonymous_predicate, "select c, count(*) as count from (select 'customer/' || c_custkey as c from customer where c_nationkey = 3 union all select 'supplier/' || s_suppkey from supplier where s_nationkey = 3) x group by 1"),
+    "unbound_order_key": (unbound_order_key, "select 'region/' || r_regionkey as r, null::varchar as none from region"),
+    "merged_braces": (merged_braces, "select 'nation/' || n_nationkey as n from nation join region on r_regionkey = n_regionkey where r_name = 'ASIA'"),
     "turtle_data": (turtle_data, "select * from (values ('nation/1', 'knows', 'nation/2'), ('nation/1', 'knows', 'nation/3'), ('nation/1', 'likes', 'x'), ('nation/1', 'likes', '5')) v(s, p, o)"),
     "udf_scalar": (udf_scalar, "select 'nation/' || n_nationkey as n from nation where length(n_name) = 9"),
     "udtf_tokens": (udtf_tokens, "select w, count(*) as count from (select unnest(string_split(p_name, ' ')) as w from part) x group by 1"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.statistics import columns, term_of
 from ..scratch import materialised
+from .turtle import unescaped
 
 #: The six orders of a triple's slots.
 ORDERS = ("spo", "sop", "ops", "osp", "pso", "pos")
@@ -94,11 +95,9 @@ def read_raw(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     f = F.split("value", " ")
     ids = spark.read.text(f"{path}/facts").select(*[f[i].cast("long").alias(x) for i, x in enumerate("spo")])
     p = F.split("value", " ", 4)
-    text = F.replace(p[3], F.lit("\\\\"), F.lit("\x00"))
-    for raw, safe in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
-        text = F.replace(text, F.lit(safe), F.lit(raw))
+    text = unescaped(p[3], (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")))
     strings = spark.read.text(f"{path}/strings").select(
-        p[0].cast("long").alias("id"), F.replace(text, F.lit("\x00"), F.lit("\\")).alias("v"), p[1].cast("tinyint").alias("t"), F.when(p[2] != "0", p[2]).alias("st")
+        p[0].cast("long").alias("id"), text.alias("v"), p[1].cast("tinyint").alias("t"), F.when(p[2] != "0", p[2]).alias("st")
     )
     return ids, strings
 

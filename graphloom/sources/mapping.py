@@ -2,7 +2,8 @@
 
 Every mapped column of a table is a predicate: a triple for each row whose
 column isn't null. A pattern with a constant predicate becomes a scan of that
-one column; only a variable predicate unites several.
+one column, patterns of one subject become one scan of their columns, and a
+variable predicate becomes one scan of each table that may have a match.
 """
 
 from __future__ import annotations
@@ -76,7 +77,7 @@ class MappedSource(Source):
         if p.lang is not None:
             made = F.struct(col.alias("v"), F.lit(LANGUAGE).cast("tinyint").alias("t"), F.col(p.lang).alias("st"))
             plain = F.struct(col.alias("v"), F.lit(LITERAL).cast("tinyint").alias("t"), F.lit(None).cast("string").alias("st"))
-            return Slot(F.when(F.col(p.lang).isNotNull(), made).otherwise(plain), Dyn())
+            return Slot(F.when(F.col(p.lang).isNotNull(), made).otherwise(plain), Dyn(), literal=True)
         tag = p.tag if p.tag is not None else _TAG_OF.get(dtype, DECIMAL if dtype.startswith("decimal") else LITERAL)
         if tag in (LANGUAGE, CUSTOM):
             raise ValueError("a tagged literal needs a column of tags")
@@ -87,18 +88,19 @@ class MappedSource(Source):
         wanted = pattern.p.v if isinstance(pattern.p, Term) and pattern.p.t == URI else None
         if isinstance(pattern.p, Term) and wanted is None:
             return out
-        for m in self.maps:
+        for n, m in enumerate(self.maps):
             if m.table not in self.tables:
                 continue
             df, subject, size = self.tables[m.table], self._subject(m), self.size(m.table)
             for key in m.keys:
                 df = df.where(F.col(key).isNotNull())
             if m.type is not None and wanted in (None, RDF + "type"):
-                out.append(Scan(df, subject, Slot(None, Iri(), Term(RDF + "type", URI)), Slot(None, Iri(), Term(m.type, URI)), m.distinct, size))
+                out.append(Scan(df, subject, Slot(None, Iri(), Term(RDF + "type", URI)), Slot(None, Iri(), Term(m.type, URI)), m.distinct, size, n, df, F.lit(True), not m.distinct))
             for p in m.properties:
                 predicate = p.predicate or p.column
                 if wanted in (None, predicate):
-                    out.append(Scan(df.where(F.col(p.column).isNotNull()), subject, Slot(None, Iri(), Term(predicate, URI)), self._object(m, p), p.distinct or m.distinct, size))
+                    present = F.col(p.column).isNotNull()
+                    out.append(Scan(df.where(present), subject, Slot(None, Iri(), Term(predicate, URI)), self._object(m, p), p.distinct or m.distinct, size, n, df, present, not m.distinct))
         return out
 
 

@@ -45,6 +45,10 @@ def from_source(source: Source) -> DataFrame:
     return rel.df.select(s["v"].alias("s"), p["v"].alias("p"), o["v"].alias("o_v"), o["t"].alias("o_t"), o["st"].alias("o_st")).distinct()
 
 
+class ConflictError(RuntimeError):
+    """Two writers at once."""
+
+
 class TripleStore(Source):
     """Triples in Parquet: a base, and versions of inserts and deletes on top of it.
 
@@ -52,6 +56,8 @@ class TripleStore(Source):
     and an operation; a triple that a version touches is as the last one left it,
     any other is as in the base. So a read joins the base with the delta alone.
     What was inserted or deleted but not committed is visible in this object only.
+    A base counts once its files are complete; a version is claimed by creating a
+    file, so of two writers that commit at once one fails and may try again.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -73,11 +79,31 @@ class TripleStore(Source):
         return store
 
     def _write_base(self, df: DataFrame, version: int) -> None:
-        df.repartitionByRange("p", "s").sortWithinPartitions("p", "s", "o_v").write.mode("error").parquet(f"{self.path}/base/version={version}")
+        # what a failed writer left without its mark of success is replaced
+        mode = "error" if version in self._bases() else "overwrite"
+        df.repartitionByRange("p", "s").sortWithinPartitions("p", "s", "o_v").write.mode(mode).parquet(f"{self.path}/base/version={version}")
+
+    def _glob(self, pattern: str) -> list[str]:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{pattern}")
+        found = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+        return [x.getPath().toString() for x in found or []]
+
+    def _bases(self) -> list[int]:
+        """Versions with a complete base."""
+        return sorted(int(x.rsplit("/version=", 1)[1].split("/")[0]) for x in self._glob("base/version=*/_SUCCESS"))
 
     def _base_version(self) -> int:
-        found = self.spark.read.parquet(f"{self.path}/base").select("version").distinct().agg(F.max("version")).first()[0]
-        return int(found)
+        return self._bases()[-1]
+
+    def _claim(self, version: int):
+        """A file that one writer alone can create; gives a way to remove it."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_claims/{version}")
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            fs.create(path, False).close()
+        except Exception as e:  # noqa: BLE001
+            raise ConflictError(f"another writer commits version {version}") from e
+        return lambda: fs.delete(path, False)
 
     def _log(self) -> DataFrame | None:
         if not self._exists(f"{self.path}/delta"):
@@ -100,12 +126,19 @@ class TripleStore(Source):
     def rollback(self) -> None:
         self.pending.clear()
 
-    def commit(self) -> int:
-        """Append what is pending as one version. The file's name is unique, so nothing is overwritten."""
+    def commit(self, batch: str | None = None) -> int:
+        """Append what is pending as one version. A batch of a name that was committed before is not committed again."""
+        if batch is not None and self._glob(f"delta/version=*/batch={batch}/_SUCCESS"):
+            self.pending.clear()
         if not self.pending:
             return self.version()
         version = self.version() + 1
-        _last(self._stacked(0)).select(*COLUMNS, "op").write.mode("error").parquet(f"{self.path}/delta/version={version}/batch={uuid.uuid4().hex}")
+        release = self._claim(version)
+        try:
+            _last(self._stacked(0)).select(*COLUMNS, "op").write.mode("error").parquet(f"{self.path}/delta/version={version}/batch={batch or uuid.uuid4().hex}")
+        except Exception:
+            release()
+            raise
         self.pending.clear()
         return version
 
@@ -127,8 +160,7 @@ class TripleStore(Source):
 
     def as_of(self, version: int) -> DataFrame:
         """The distinct triples of a version."""
-        bases = self.spark.read.parquet(f"{self.path}/base")
-        start = bases.where(F.col("version") <= version).agg(F.max("version")).first()[0]
+        start = max((v for v in self._bases() if v <= version), default=None)
         if start is None:
             raise ValueError(f"there is no version {version}")
         base = self.spark.read.parquet(f"{self.path}/base/version={start}")
@@ -138,7 +170,7 @@ class TripleStore(Source):
         return overlay(base, log.where((F.col("version") > start) & (F.col("version") <= version)))
 
     def current(self) -> DataFrame:
-        if not self._exists(f"{self.path}/base"):
+        if not self._bases():
             base = self.spark.createDataFrame([], SCHEMA)
         else:
             base = self.as_of(self.version())

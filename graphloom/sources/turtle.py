@@ -258,12 +258,20 @@ _RESOURCE = r'(<[^<>"{}|^`\x00-\x20]*>|_:[^\s<>"]+)'
 _LINE = r"^\s*" + _RESOURCE + r"\s*(<[^<>\s]*>)\s*(?:" + _RESOURCE + r'|"((?:[^"\\]|\\.)*)"(?:@([A-Za-z]+(?:-[A-Za-z0-9]+)*)|\^\^<([^<>\s]*)>)?)\s*\.\s*(?:#.*)?$'
 
 
+def unescaped(col: Column, escapes: tuple[tuple[str, str], ...]) -> Column:
+    """Escapes resolved by Spark functions: between pairs of backslashes a backslash begins an escape."""
+    pieces = F.split(col, r"\\\\")
+
+    def one(x: Column) -> Column:
+        for raw, safe in escapes:
+            x = F.replace(x, F.lit(safe), F.lit(raw))
+        return x
+
+    return F.when(F.contains(col, F.lit("\\")), F.array_join(F.transform(pieces, one), "\\")).otherwise(col)
+
+
 def _unescaped(col: Column) -> Column:
-    """N-Triples escapes resolved by Spark functions; texts without a backslash are left at once."""
-    out = F.replace(col, F.lit("\\\\"), F.lit("\x00"))
-    for raw, safe in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ('"', '\\"'), ("\b", "\\b"), ("\f", "\\f"), ("'", "\\'")):
-        out = F.replace(out, F.lit(safe), F.lit(raw))
-    return F.when(F.contains(col, F.lit("\\")), F.replace(out, F.lit("\x00"), F.lit("\\"))).otherwise(col)
+    return unescaped(col, (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ('"', '\\"'), ("\b", "\\b"), ("\f", "\\f"), ("'", "\\'")))
 
 
 def read_ntriples(spark: SparkSession, paths: str | list[str]) -> DataFrame:
