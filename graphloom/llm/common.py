@@ -11,19 +11,28 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows and bytes that an Arrow batch shall have, where the session sets none: two tasks with two batches each stay small.
+BATCH_ROWS, BATCH_BYTES = 2048, 16 << 20
 #: Rows a side may have, at a few fixed-width columns, to be broadcast by hint.
 BROADCAST_ROWS = 500_000
 
 
+#: Paths of the tables cut inside each open ``passing`` block.
+_CUTS: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; a temporary one only where none is set."""
+    """The shared checkpoint folder; a temporary one only where none is set and all tasks run on this machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="loom-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -32,10 +41,12 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here.
 
-    The files are removed when the driver's JVM exits.
+    The files are removed at the end of the ``passing`` block around, else when the driver's JVM exits.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loom-{name}-{uuid.uuid4().hex}"
+    if _CUTS:
+        _CUTS[-1].append(path)
     df.write.parquet(path)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     jvm_path = jvm.org.apache.hadoop.fs.Path(path)
@@ -43,13 +54,38 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
 def forget(df: DataFrame) -> None:
     """Remove the files of a ``cut`` that nothing reads any more."""
     files = df.inputFiles()
     if files:
-        context = df.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, files[0].rsplit("/", 1)[0])
+
+
+@contextmanager
+def passing(spark: SparkSession):
+    """Files of tables that are ``cut`` inside go when the block ends, but those of the tables given to the yielded function."""
+    paths: list[str] = []
+    _CUTS.append(paths)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in df.inputFiles()}
+        for path in [p for p in paths if p.rsplit("/", 1)[-1] in kept]:
+            paths.remove(path)
+            if len(_CUTS) > 1:
+                _CUTS[-2].append(path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _CUTS.remove(paths)
+        for path in paths:
+            _delete(spark, path)
 
 
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -74,7 +110,11 @@ def _give_back() -> None:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow whose workers keep no free memory when a task ends."""
+    """mapInArrow over batches of bounded size, whose workers keep no free memory when a task ends."""
+    conf = df.sparkSession.conf
+    for name, bound in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if conf.get(f"spark.sql.execution.arrow.{name}", None) is None:
+            conf.set(f"spark.sql.execution.arrow.{name}", str(bound))
 
     def run(batches):
         try:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, eq, map_arrow, small_enough
+from .common import cut, eq, map_arrow, passing, small_enough
 
 #: Fingerprints that one filter takes before a task starts the next one.
 FILTER_ROWS = 1 << 20
@@ -141,23 +141,24 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """doc_id, keep_id, group_size, kept and text_sha256 of every row of ``docs``."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     base = base.withColumn("fp", F.xxhash64("body"))
-    slim = cut(base.select("doc_id", "fp", F.sha2("body", 256).alias("sha"), F.monotonically_increasing_id().alias("row")), "exact-slim")
-    repeated = cut(repeated_fingerprints(slim.select("fp"), slim.count()), "exact-repeated")
-    # equal bytes meet in one group; each task sends one row for each of its distinct texts
-    groups = (
-        base.join(small_enough(repeated.select("fp")), "fp", "left_semi")
-        .groupBy("fp", "body")
-        .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .where("group_size > 1")
-        .select(F.col("fp").alias("g_fp"), F.sha2("body", 256).alias("g_sha"), "keep_id", "group_size")
-    )
-    groups = small_enough(cut(groups, "exact-groups"))
-    same = (F.col("fp") == F.col("g_fp")) & (F.col("sha") == F.col("g_sha"))
-    # several rows may have a group's largest doc_id: the first of them stays
-    stays = slim.join(groups, same & eq((F.col("doc_id"), F.col("keep_id")))).groupBy("g_fp", "g_sha").agg(
-        F.first("keep_id").alias("keep_id"), F.first("group_size").alias("group_size"), F.min("row").alias("keep_row")
-    )
-    found = slim.join(small_enough(cut(stays, "exact-stays")), same, "left")
+    with passing(docs.sparkSession) as keep:
+        slim = keep(cut(base.select("doc_id", "fp", F.sha2("body", 256).alias("sha"), F.monotonically_increasing_id().alias("row")), "exact-slim"))
+        repeated = cut(repeated_fingerprints(slim.select("fp"), slim.count()), "exact-repeated")
+        # equal bytes meet in one group; each task sends one row for each of its distinct texts
+        groups = (
+            base.join(small_enough(repeated.select("fp")), "fp", "left_semi")
+            .groupBy("fp", "body")
+            .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+            .where("group_size > 1")
+            .select(F.col("fp").alias("g_fp"), F.sha2("body", 256).alias("g_sha"), "keep_id", "group_size")
+        )
+        groups = small_enough(cut(groups, "exact-groups"))
+        same = (F.col("fp") == F.col("g_fp")) & (F.col("sha") == F.col("g_sha"))
+        # several rows may have a group's largest doc_id: the first of them stays
+        stays = slim.join(groups, same & eq((F.col("doc_id"), F.col("keep_id")))).groupBy("g_fp", "g_sha").agg(
+            F.first("keep_id").alias("keep_id"), F.first("group_size").alias("group_size"), F.min("row").alias("keep_row")
+        )
+        found = slim.join(small_enough(keep(cut(stays, "exact-stays"))), same, "left")
     return found.select(
         "doc_id", F.when(F.col("keep_row").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import cut, map_arrow
+from .common import cut, map_arrow, passing, small_enough
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -111,7 +111,10 @@ def similar_links(made: DataFrame, similarity: float, distance: int) -> DataFram
     # the same group comes from many bands
     groups = groups.where(F.size("members") > 1).groupBy("members").agg(F.min(F.xxhash64("key", "pair")).alias("group"))
     members = cut(groups.select("group", F.explode("members").alias("member")), "candidate-groups")
-    full = members.join(made.select("doc_id", "shingles"), F.col("member") == F.col("doc_id")).select("group", "doc_id", "shingles")
+    # only the shingles of candidates are sent
+    wanted = small_enough(cut(members.select(F.col("member").alias("wanted")).distinct(), "candidate-texts"))
+    some = made.select("doc_id", "shingles").join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi")
+    full = members.join(some, F.col("member") == F.col("doc_id")).select("group", "doc_id", "shingles")
     full = full.repartition("group").sortWithinPartitions("group", "doc_id")
 
     def verify(batches):
@@ -139,8 +142,9 @@ def near_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, similarity: float = SIMILARITY, distance: int = simhash.DISTANCE
 ) -> DataFrame:
     """(doc_id, component_id) of the documents that are similar to another one and not its group's smallest doc_id."""
-    made = cut(sketches(docs.select(F.col(id_col).cast("long"), F.col(text_col)), n), "sketches")
-    found = cut(components(similar_links(made, similarity, distance)), "near-roots")
+    with passing(docs.sparkSession) as keep:
+        made = cut(sketches(docs.select(F.col(id_col).cast("long"), F.col(text_col)), n), "sketches")
+        found = keep(cut(components(similar_links(made, similarity, distance)), "near-roots"))
     return found.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
 
 
@@ -150,10 +154,11 @@ def drop_near_texts(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     again = cut(ids.groupBy("again").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or again is null").select("again"), "near-twins")
     if not again.limit(1).count():
         gone = near_groups(docs, similarity=similarity).select(F.col("doc_id").alias("near_gone"))
-        return docs.join(gone, docs["doc_id"].cast("long") == gone["near_gone"], "left_anti")
+        rows = docs.select(F.struct(*docs.columns).alias("row"))  # the rows' columns keep their names whatever they are
+        return rows.join(small_enough(gone), F.col("row")["doc_id"].cast("long") == F.col("near_gone"), "left_anti").select("row.*")
     # rows that share a doc_id or have none are judged by a number of their own; numbers are in the order of doc_id
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), "text")
     rows = rows.orderBy(F.col("id").asc_nulls_last(), F.xxhash64("text")).withColumn("near_id", F.monotonically_increasing_id())
     rows = cut(rows.select("row", "near_id", "text"), "near-rows")
     gone = near_groups(rows, id_col="near_id", similarity=similarity).select(F.col("doc_id").alias("near_gone"))
-    return rows.join(gone, F.col("near_id") == F.col("near_gone"), "left_anti").select("row.*")
+    return rows.join(small_enough(gone), F.col("near_id") == F.col("near_gone"), "left_anti").select("row.*")

@@ -45,7 +45,7 @@ TASK_IDS, MAX_TASKS = 1 << 26, 50_000
 #: Strings whose ids a task remembers.
 CACHE = 200_000
 #: Rows and bytes of text that are encoded together.
-PIECE_ROWS, PIECE_BYTES = 1024, 4 << 20
+PIECE_ROWS, PIECE_BYTES = 1024, 2 << 20
 
 
 def tokenizer_path() -> str:

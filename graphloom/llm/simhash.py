@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, small_enough
+from .common import cut, map_arrow, passing, small_enough
 from .components import components
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
@@ -206,12 +206,13 @@ def linked_pairs(prints: DataFrame, distance: int = DISTANCE, widths=WIDTHS) ->
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """doc_id, fp (signed long), fingerprint (16 hex digits) and component_id of every row."""
-    base = cut(fingerprints(docs.select(F.col(id_col), F.col(text_col)), n), "fingerprints")
-    prints = cut(base.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
-    roots = cut(components(linked_pairs(prints.select("fp"), distance)), "roots")
-    named = prints.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = cut(named.select("fp", "root").join(least, "root").select(F.col("fp").alias("of"), "component_id"), "components")
+    with passing(docs.sparkSession) as keep:
+        base = keep(cut(fingerprints(docs.select(F.col(id_col), F.col(text_col)), n), "fingerprints"))
+        prints = cut(base.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
+        roots = cut(components(linked_pairs(prints.select("fp"), distance)), "roots")
+        named = prints.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+        least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
+        named = keep(cut(named.select("fp", "root").join(least, "root").select(F.col("fp").alias("of"), "component_id"), "components"))
     return base.join(named, F.col("fp") == F.col("of")).select(
         "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
