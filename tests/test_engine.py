@@ -1,6 +1,7 @@
 """Parser, planner, expressions and plans."""
 
 import io
+from collections import Counter
 
 import pytest
 
@@ -158,6 +159,53 @@ def test_plans_are_pruned_scans(spark, small):
     assert plan.count("Scan parquet") <= 6 and "CartesianProduct" not in plan and "concat" not in plan
 
 
+def scans_of(engine_, text):
+    plan = engine_.query(text)._jdf.queryExecution().optimizedPlan().toString()
+    return plan.count("Relation ["), plan
+
+
+def test_scans_are_shared_and_left_out(spark, small):
+    from graphloom.tables import engine
+
+    e = engine(spark, small)
+    for text, most in (
+        ("select ?o ?a ?b where { ?o <o_orderstatus> ?a ; <o_totalprice> ?b ; <o_orderpriority> ?c . filter(?b > 400000) }", 1),
+        ('select count ?p where { ?s <c_mktsegment> "MACHINERY" . ?s ?p [] }', 2),
+        ('select distinct ?p ?q where { ?a ?p ?b . ?b ?q ?r . ?r <r_name> "EUROPE" }', 6),
+        ("select ?o where { ?s <n_name> ?x optional { ?s ?p ?o } }", 2),
+    ):
+        assert scans_of(e, text)[0] <= most, text
+
+
+def test_unbound_variables_join_by_equality(spark):
+    """Rows with and without the shared variables on both sides, against the definition, row by row."""
+    from itertools import product
+
+    from graphloom.operators.relations import Binding, Relation, join, left_join
+    from graphloom.terms import INTEGER, Lit
+
+    def relation(names, rows):
+        cols = [f"{n}_{id(rows)}" for n in names]
+        df = spark.createDataFrame(rows, ", ".join(f"{c} long" for c in cols))
+        return Relation(df, {n: Binding(c, Lit(INTEGER), True) for n, c in zip(names, cols, strict=True)})
+
+    values = [None, 1, 2]
+    left = [(a, b, i) for i, (a, b) in enumerate(product(values, values))] + [(1, 1, 100), (3, None, 101), (3, 3, 102)]
+    right = [(a, b, i) for i, (a, b) in enumerate(product([None, 1, 4], values))] + [(2, 2, 50)]
+    for some in (right, [r for r in right if r[0] is not None], [r for r in right if r[0] == 4], []):
+        want, alone = Counter(), Counter()
+        for a, b, i in left:
+            hits = [(a if a is not None else x, b if b is not None else y, i, j) for x, y, j in some if (None in (a, x) or a == x) and (None in (b, y) or b == y)]
+            want.update(hits)
+            alone.update(hits or [(a, b, i, None)])
+        for make, rows in ((join, want), (left_join, alone)):
+            out = make(relation("abi", left), relation("abj", some))
+            got = out.df.select(*[out.vars[n].column for n in "abij"])
+            assert Counter(map(tuple, got.collect())) == rows
+            plan = got._jdf.queryExecution().optimizedPlan().toString()
+            assert " OR " not in plan.upper() or "Join" not in plan
+
+
 def test_join_order_is_irrelevant(spark, small):
     e = engine(spark, small)
     parts = ["?o <o_custkey> ?c", "?c <c_nationkey> ?n", "?n <n_name> \"NATION_3\"", "?c <c_mktsegment> ?s"]
