@@ -282,9 +282,11 @@ def span_rows(docs: DataFrame, min_words: int) -> DataFrame:
     return map_arrow(docs, run, f"h1 long, h2 long, doc_id {docs.schema[0].dataType.simpleString()}, first int, last int")
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, passages: bool = True) -> DataFrame:
     """doc_id, n_sentences, n_removed (also those removed in part), removed and text (what stays) of every row.
 
+    passages: whether repeated stretches that begin or end inside sentences go too.
+
     removed: the removed stretches as ``start:end`` in code points, end exclusive, joined by commas.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -299,7 +301,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     again = cut(again, "span-drops")
     forget(spans)
-    more = cut(repeated_passages(base, again), "passage-drops")
+    more = cut(repeated_passages(base, again), "passage-drops") if passages else again.select("of", F.array().cast("array<struct<key:long,lo:int,hi:int>>").alias("passages")).limit(0)
     twins = base.groupBy(F.col("doc_id").alias("of")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("of", F.lit(True).alias("twin"))
     drops = again.unionByName(more, allowMissingColumns=True).unionByName(twins, allowMissingColumns=True)
     # each row has one of the three
