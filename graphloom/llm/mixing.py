@@ -27,9 +27,7 @@ from .common import cut, eq, small_enough
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, MAX_EPOCHS = (3, 1, 2), 1.5, 2
 #: Rows that one bin of keys shall have on average.
-BIN_ROWS = 20_000
-
-
+BIN_ROWS = 4_000
 #: Weights by quality: 1, unlabelled, 0.
 GOOD, PLAIN, POOR = 2.0, 1.0, 0.5
 
