@@ -31,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder; a temporary one only where none is set and all tasks run on this machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="loom-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", where)
