@@ -6,6 +6,10 @@ The lines whose key is long enough and found in enough documents are dropped
 everywhere but in the document with the largest id; the rest is reassembled by
 position.
 
+Skew: what a row loses depends on its doc_id and its text alone. So removals
+are gathered by doc_id and a hash of the text: rows without a doc_id, or with
+one repeated doc_id, are spread, and a list holds lines of one text.
+
 Defined results: a null text is one empty line; each row is a document of its
 own, rows that share the largest doc_id all keep their lines; a null doc_id is
 smaller than any other; an empty table gives an empty result; other columns
@@ -36,7 +40,7 @@ def _key(line: bytes, min_chars: int) -> bytes | None:
 
 
 def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(h1, h2, doc_id): each distinct line key of each document."""
+    """(h1, h2, doc_id, mark): each distinct line key of each document, of a table of id, text and the text's mark."""
 
     def keys(batches):
         for batch in batches:
@@ -48,32 +52,33 @@ def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
                     digests.extend(own)
                     rows.extend([row] * len(own))
             both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), batch.column(0).take(pa.array(rows, pa.int64()))],
-                ["h1", "h2", "doc_id"],
+                [pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), batch.column(0).take(at), batch.column(2).take(at)],
+                ["h1", "h2", "doc_id", "mark"],
             )
 
     kind = docs.schema[0].dataType.simpleString()
-    return map_arrow(docs, keys, f"h1 long, h2 long, doc_id {kind}")
+    return map_arrow(docs, keys, f"h1 long, h2 long, doc_id {kind}, mark long")
 
 
 def line_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, with_text: bool = True
 ) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 and, by default, kept_text of every document."""
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
     lines = cut(line_keys(base, min_chars), "lines")
     common = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("holder")).where(F.col("n") >= min_docs)
     common = cut(common.select("h1", "h2", "holder"), "common-lines")
     drops = (
         lines.join(common, ["h1", "h2"])
         .where(~eq((F.col("doc_id"), F.col("holder"))))
-        .distinct()
-        .groupBy(F.col("doc_id").alias("of"))
-        .agg(F.collect_list(F.struct("h1", "h2")).alias("gone"))
+        .groupBy(F.col("doc_id").alias("of"), F.col("mark").alias("of_mark"))
+        .agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
     )
     drops = cut(drops, "line-drops")
-    joined = base.join(drops.hint("shuffle_hash"), eq((F.col("doc_id"), F.col("of"))), "left").select("doc_id", "text", "gone")
+    same = eq((F.col("doc_id"), F.col("of"))) & (F.col("mark") == F.col("of_mark"))
+    joined = base.join(drops.hint("shuffle_hash"), same, "left").select("doc_id", "text", "gone")
 
     def rebuild(batches):
         for batch in batches:

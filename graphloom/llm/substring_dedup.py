@@ -21,6 +21,8 @@ stays is not changed.
 
 Skew: equal hashes are counted on the map side first, and the join back to the
 runs is one that Spark splits, so a run that most documents share is spread.
+Where doc_ids repeat or several are null, removals are gathered by doc_id and a
+hash of the text, so that such rows are spread and a list is of one text.
 
 Defined results: a null or empty text has no sentence and becomes the empty
 text; texts with fewer words than a run keep all; rows with the same doc_id
@@ -38,10 +40,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, eq, forget, map_arrow
+from .common import cut, eq, forget, map_arrow, small_enough
 
 MIN_WORDS = 20
 #: Words of a stretch that is found wherever it begins, and of the part that stands for it.
@@ -232,14 +234,14 @@ def passage_rows(docs: DataFrame) -> DataFrame:
     return map_arrow(docs, run, f"key long, anchor long, doc_id {docs.schema[0].dataType.simpleString()}, lo int, hi int")
 
 
-def repeated_passages(base: DataFrame, again: DataFrame) -> DataFrame:
+def repeated_passages(base: DataFrame, again: DataFrame, own_id: Column) -> DataFrame:
     """(of, passages): stretches of ``PASSAGE`` words that an earlier place has, for documents; ``again`` has their removed runs."""
     anchors = cut(anchor_rows(base), "anchors")
-    held = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "lo")).alias("holder")).where("n > 1")
+    held = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(own_id.alias("doc_id"), "lo")).alias("holder")).where("n > 1")
     held = cut(held.select("h", F.col("holder.doc_id").alias("h_doc"), F.col("holder.lo").alias("h_lo")), "repeated-anchors")
     later = (
         anchors.join(held, "h")
-        .where(~(eq((F.col("doc_id"), F.col("h_doc"))) & (F.col("lo") == F.col("h_lo"))))
+        .where(~(eq((own_id, F.col("h_doc"))) & (F.col("lo") == F.col("h_lo"))))
         .groupBy("doc_id")
         .agg(F.collect_list(F.struct("h", "lo", "hi")).alias("hs"))
     )
@@ -249,11 +251,11 @@ def repeated_passages(base: DataFrame, again: DataFrame) -> DataFrame:
     forget(anchors)
     asked = base.join(wanted.hint("shuffle_hash"), eq((F.col("doc_id"), F.col("of")))).select("doc_id", "text", "anchors")
     rows = cut(passage_rows(asked), "passages")
-    first = rows.groupBy("key", "anchor").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "lo", "hi")).alias("holder")).where("n > 1")
+    first = rows.groupBy("key", "anchor").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(own_id.alias("doc_id"), "lo", "hi")).alias("holder")).where("n > 1")
     first = cut(first.select("key", "anchor", F.col("holder.doc_id").alias("h_doc"), F.col("holder.lo").alias("h_lo"), F.col("holder.hi").alias("h_hi")), "repeated-passages")
     return (
         rows.join(first, ["key", "anchor"])
-        .where(~(eq((F.col("doc_id"), F.col("h_doc"))) & (F.col("lo") < F.col("h_hi"))))
+        .where(~(eq((own_id, F.col("h_doc"))) & (F.col("lo") < F.col("h_hi"))))
         .groupBy(F.col("doc_id").alias("of"))
         .agg(F.collect_set(F.struct("key", "lo", "hi")).alias("passages"))
     )
@@ -290,23 +292,29 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     removed: the removed stretches as ``start:end`` in code points, end exclusive, joined by commas.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind, own_id, twin = base.schema["doc_id"].dataType.simpleString(), F.col("doc_id"), F.lit(False)
+    twins = base.groupBy(F.col("doc_id").alias("of")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("of")
+    if twins.limit(1).count():
+        twins = cut(twins, "repeated-ids").select("of", F.lit(True).alias("twin"))
+        base = base.join(small_enough(twins), eq((F.col("doc_id"), F.col("of"))), "left")
+        base = base.select(F.struct(F.col("doc_id").alias("id"), F.when(F.col("twin"), F.xxhash64("text")).alias("mark")).alias("doc_id"), "text")
+        own_id, twin = F.col("doc_id")["id"], F.col("doc_id")["mark"].isNotNull()
     spans = cut(span_rows(base, min_words), "spans")
-    held = spans.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "first")).alias("holder")).where("n > 1")
+    held = spans.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(own_id.alias("doc_id"), "first")).alias("holder")).where("n > 1")
     held = cut(held.select("h1", "h2", F.col("holder.doc_id").alias("h_doc"), F.col("holder.first").alias("h_first")), "repeated-spans")
     again = (
         spans.join(held, ["h1", "h2"])
-        .where(~(eq((F.col("doc_id"), F.col("h_doc"))) & (F.col("first") == F.col("h_first"))))
+        .where(~(eq((own_id, F.col("h_doc"))) & (F.col("first") == F.col("h_first"))))
         .groupBy(F.col("doc_id").alias("of"))
         .agg(F.collect_set(F.struct("h1", "first", "last")).alias("gone"))
     )
     again = cut(again, "span-drops")
     forget(spans)
-    more = cut(repeated_passages(base, again), "passage-drops") if passages else again.select("of", F.array().cast("array<struct<key:long,lo:int,hi:int>>").alias("passages")).limit(0)
-    twins = base.groupBy(F.col("doc_id").alias("of")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("of", F.lit(True).alias("twin"))
-    drops = again.unionByName(more, allowMissingColumns=True).unionByName(twins, allowMissingColumns=True)
-    # each row has one of the three
-    drops = drops.groupBy("of").agg(*[F.first(c, True).alias(c) for c in ("gone", "passages", "twin")])
-    joined = base.join(drops.hint("shuffle_hash"), eq((F.col("doc_id"), F.col("of"))), "left").select("doc_id", "text", "gone", "passages", "twin")
+    more = cut(repeated_passages(base, again, own_id), "passage-drops") if passages else again.select("of", F.array().cast("array<struct<key:long,lo:int,hi:int>>").alias("passages")).limit(0)
+    drops = again.unionByName(more, allowMissingColumns=True)
+    # each row has one of the two
+    drops = drops.groupBy("of").agg(*[F.first(c, True).alias(c) for c in ("gone", "passages")])
+    joined = base.join(drops.hint("shuffle_hash"), eq((F.col("doc_id"), F.col("of"))), "left").select("doc_id", "text", "gone", "passages", twin.alias("twin"))
 
     def rebuild(batches):
         for batch in batches:
@@ -318,7 +326,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 ends = [0, *accumulate(map(len, pieces))]
                 runs_h, *run_at = gone(row)
                 keys, *at = passages(row)
-                if twin and len(runs_h):  # rows that share a doc_id may differ in text
+                if twin and len(runs_h):  # rows that share a doc_id and a hash may differ in text
                     own = _own_runs(pieces, ends, runs_h, *run_at)
                     run_at = [x[own] for x in run_at]
                 if twin and len(keys):
@@ -339,8 +347,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 ["doc_id", "n_sentences", "n_removed", "removed", "text"],
             )
 
-    kind = base.schema["doc_id"].dataType.simpleString()
-    return map_arrow(joined, rebuild, f"doc_id {kind}, n_sentences long, n_removed long, removed string, text string")
+    held = base.schema["doc_id"].dataType.simpleString()
+    out = map_arrow(joined, rebuild, f"doc_id {held}, n_sentences long, n_removed long, removed string, text string")
+    return out if held == kind else out.withColumn("doc_id", own_id)
 
 
 def _listed(column: pa.ListArray):

@@ -291,3 +291,43 @@ def test_near_texts_odd_rows(spark):
     kept = near_texts.drop_near_texts(df)
     assert {r["doc_id"] for r in kept.collect()} >= {None, 8, 9, -3, 10}
     assert near_texts.drop_near_texts(df.limit(0)).count() == 0
+
+
+def shared_ids(spark):
+    """Many rows without an id and many with one id, with lines and sentences that they share, and repeated rows."""
+    rng = random.Random(3)
+    shared = [" ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta".split()) for _ in range(24)) + f" {n}." for n in range(12)]
+    rows = []
+    for n in range(120):
+        own = f"Only row {n} says what this line has to say, row {n}."
+        text = "\n".join([own, *rng.sample(shared, 3)])
+        rows.append(((None, 5, n)[n % 3], text, "en", "a"))
+    return docs_of(spark, rows + rows[:20])
+
+
+def test_op9_rows_that_share_an_id(spark):
+    df = shared_ids(spark)
+    got = Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in line_dedup.line_dedup(df, with_text=False).collect())
+    assert got == plain_lines([(r["doc_id"], r["text"]) for r in df.collect()])
+    assert any(dropped for _, _, dropped, _ in got)
+
+
+@pytest.mark.parametrize("passages", [False, True])
+def test_op2_rows_that_share_an_id(spark, passages):
+    """Each row loses the runs that an earlier place has; rows of one id are one place where the run begins at the same byte."""
+    df = shared_ids(spark)
+    rows = [(r["doc_id"], r["text"]) for r in df.collect()]
+    order = lambda place: (place[0] is not None, place[0] or 0, place[1])
+    places = defaultdict(set)
+    for i, text in rows:
+        for line in text.split("\n")[1:]:
+            places[line].add((i, text.index(line)))
+    want = Counter()
+    for i, text in rows:
+        lines = text.split("\n")
+        kept = [x for n, x in enumerate(lines) if n == 0 or (i, text.index(x)) == min(places[x], key=order)]
+        # the line break goes with the line
+        want[(i, "".join(x + ("\n" if x is not lines[-1] else "") for x in kept))] += 1
+    out = substring_dedup.substring_dedup(df, passages=passages)
+    assert out.schema["doc_id"].dataType.simpleString() == "bigint"
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == want
