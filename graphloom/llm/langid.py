@@ -5,7 +5,8 @@ text. A document is parsed greedily, for each language, into the longest
 phrases that occur in that language's sample; the language that needs the
 fewest phrases for each symbol wins. Texts are parsed whole, in pieces of
 ``PIECE`` bytes that each start a phrase, so that one automaton step serves all
-pieces of a batch.
+pieces of a batch. The automata's steps are packed: a state's steps lie in the
+gaps between other states' ones, so a table has about as many entries as steps.
 
 Bounds of the sample: ``SAMPLE_ROWS`` rows a language and the first
 ``ROW_CHARS`` characters of each, in the order of a hash of the id, up to
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow
 
-SAMPLE_ROWS, ROW_CHARS, SAMPLE_BYTES, MODEL_BYTES = 200, 2000, 32_768, 524_288
+SAMPLE_ROWS, ROW_CHARS, SAMPLE_BYTES, MODEL_BYTES = 200, 2000, 32_768, 2 << 20
 PIECE = 256
 #: Bytes of text that are parsed at once.
 BATCH_BYTES = 4 << 20
@@ -79,35 +80,64 @@ def suffix_automaton(symbols) -> list[dict[int, int]]:
     return nexts
 
 
-class CrossParser:
-    """Automata of all languages in one table of steps.
+#: Gaps that are tried for a state's steps before they go behind all others.
+TRIES = 200
+
+
+def packed(rows: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, owner, target): the step of state s with symbol c is target[place[s] + c] if owner[place[s] + c] is s, else there is none."""
+    n = sum(map(len, rows))
+    taken, place = bytearray(2 * width + 2 * n), np.zeros(len(rows), np.int32)
+    slots: list[tuple[int, int, int]] = []
+    low = top = width
+    for s in sorted(range(len(rows)), key=lambda s: -len(rows[s])):
+        if not rows[s]:
+            break
+        first, *more = sorted(rows[s])
+        at, tries = taken.find(0, low), 0
+        low = at
+        while any(taken[at - first + c] for c in more):
+            at, tries = taken.find(0, at + 1), tries + 1
+            if tries == TRIES:
+                at = top + first
+        if at + width >= len(taken) - width:
+            taken.extend(bytes(len(taken)))
+        place[s] = at - first
+        for c, t in rows[s].items():
+            taken[at - first + c] = 1
+            slots.append((at - first + c, s, t))
+        top = max(top, at - first + width)
+    size = int(place.max(initial=0)) + width
+    owner, target = np.full(size, -1, np.int32), np.zeros(size, np.int32)
+    if slots:
+        at, of, to = np.array(slots).T
+        owner[at], target[at] = of, to
+    return place, owner, target
+
 
-    A step's value is where to go, as an offset of a row; its bitwise complement
-    where a phrase ends before the symbol, and the next one starts with it.
-    """
+class CrossParser:
+    """Automata of all languages in one packed table of steps, with a state before any phrase for each."""
 
     def __init__(self, samples: dict[str, bytes]):
         fold = folded()
         used = sorted({int(x) for s in samples.values() for x in np.unique(fold[np.frombuffer(s, np.uint8)])})
         code = {b: i for i, b in enumerate(used)}
-        self.symbol = np.array([code.get(int(b), len(used)) for b in fold], np.uint8 if len(used) < 255 else np.int32)
+        self.symbol = np.array([code.get(int(b), len(used)) for b in fold], np.int32)
         self.width = len(used) + 1  # the last symbol is unknown to all
         self.langs = sorted(samples)
-        tables, self.fresh, base = [], [], 0
-        for lang in self.langs:
+        self.fresh = np.zeros(len(self.langs), np.int32)
+        self.start = np.zeros((len(self.langs), self.width), np.int32)  # where a phrase's first symbol leads
+        parts, states, size = [], 0, 0
+        for i, lang in enumerate(self.langs):
             nexts = suffix_automaton(self.symbol[np.frombuffer(samples[lang], np.uint8)].tolist())
-            fresh = len(nexts)  # a state before any phrase
-            start = np.full(self.width, ~((base + fresh) * self.width), np.int64)
+            self.fresh[i] = self.start[i] = states + len(nexts)
             for c, t in nexts[0].items():
-                start[c] = ~((base + t) * self.width)
-            table = np.tile(start, (fresh + 1, 1))
-            for s, row in enumerate(nexts):
-                for c, t in row.items():
-                    table[s, c] = (base + t) * self.width
-            tables.append(table)
-            self.fresh.append((base + fresh) * self.width)
-            base += fresh + 1
-        self.steps = (np.concatenate(tables) if tables else np.zeros((0, self.width))).astype(np.int32).ravel()
+                self.start[i, c] = states + t
+            place, owner, target = packed([*nexts, {}], self.width)
+            parts.append((place + np.int32(size), np.where(owner < 0, owner, owner + np.int32(states)), target + np.int32(states)))
+            states += len(nexts) + 1
+            size += len(owner)
+        self.place, self.owner, self.target = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int32)] * 3
 
     @classmethod
     def of(cls, state: dict) -> CrossParser:
@@ -138,16 +168,17 @@ class CrossParser:
         order = np.argsort(-lengths, kind="stable")
         lengths = lengths[order]
         grid = np.frombuffer(b"".join([cut[i].ljust(PIECE, b"\0") for i in order]), np.uint8).reshape(-1, PIECE)
-        grid = np.ascontiguousarray(self.symbol[grid].T).astype(np.int32)
-        state = np.repeat(np.array(self.fresh, np.int32)[:, None], len(cut), axis=1)
+        grid = np.ascontiguousarray(self.symbol[grid].T)
+        state = np.repeat(self.fresh[:, None], len(cut), axis=1)
         count = np.zeros(state.shape, np.int32)
         alive = np.searchsorted(-lengths, -np.arange(int(lengths[0])), side="left")
         for t in range(int(lengths[0])):
             n = alive[t]
-            step = self.steps[state[:, :n] + grid[t, :n]]
-            sign = step >> 31
-            count[:, :n] -= sign
-            state[:, :n] = step ^ sign
+            symbols, now = grid[t, :n], state[:, :n]
+            at = self.place[now] + symbols
+            goes_on = self.owner[at] == now
+            count[:, :n] += ~goes_on
+            state[:, :n] = np.where(goes_on, self.target[at], self.start[:, symbols])
         np.add.at(out, np.array([i for i, _, _ in pieces])[order], count.T)
 
 
@@ -160,7 +191,9 @@ def learn(docs: DataFrame) -> CrossParser:
     rows = docs.where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0) & F.col("lang").isNotNull() & (F.length("text") > 0))
     rows = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, ROW_CHARS).alias("text"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))
-    sample = rows.withColumn("nth", nth).where(F.col("nth") <= SAMPLE_ROWS).select("lang", "nth", "text").collect()
+    rows = rows.withColumn("nth", nth).where(F.col("nth") <= SAMPLE_ROWS)
+    before = F.sum(F.octet_length("text") + 1).over(Window.partitionBy("lang").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1))
+    sample = rows.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < SAMPLE_BYTES).select("lang", "nth", "text").collect()
     by_lang: dict[str, list] = {}
     for r in sorted(sample, key=lambda r: (r["lang"], r["nth"])):
         by_lang.setdefault(r["lang"], []).append(r["text"].encode())

@@ -145,3 +145,51 @@ def test_phrases_are_longest_matches(text):
                 i, n = j, n + 1
         want.append(n)
     assert parser.phrases([text.encode()])[0].tolist() == want
+
+
+def test_op4_is_brute_force(spark, small):
+    """lang_pred and score of every text by plain search in the samples, which are drawn here again."""
+    import struct
+    import zlib
+
+    import xxhash
+
+    docs, by_lang = documents(small), {}
+    for d in docs:
+        if zlib.crc32(str(d["doc_id"]).encode()) % 5 and d["lang"] and d["text"]:
+            h = xxhash.xxh64_intdigest(struct.pack("<q", d["doc_id"]), 42)
+            by_lang.setdefault(d["lang"], []).append((h - (h >> 63 << 64), d["doc_id"], d["text"][: langid.ROW_CHARS].encode()))
+    fold = bytes(int(x) for x in langid.folded())
+    samples = {la: b" ".join(t for _, _, t in sorted(rows)[: langid.SAMPLE_ROWS])[: langid.SAMPLE_BYTES].translate(fold) for la, rows in by_lang.items()}
+    got = {r["doc_id"]: r for r in queries.op4_langid(spark, small).collect()}
+    for d in docs:
+        text, counts = (d["text"] or "").encode().translate(fold), {}
+        for la, known in sorted(samples.items()):
+            n = 0
+            for at in range(0, len(text), langid.PIECE):
+                piece, i = text[at : at + langid.PIECE], 0
+                while i < len(piece):
+                    j = i + 1
+                    while j < len(piece) and piece[i : j + 1] in known:
+                        j += 1
+                    i, n = j, n + 1
+            counts[la] = n
+        r = got[d["doc_id"]]
+        if not any(c.isalpha() for c in d["text"] or ""):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        best, second = sorted(counts.values())[:2]
+        assert r["lang_pred"] == min(counts, key=lambda la: (counts[la], la))
+        assert math.isclose(r["score"], 1 - best / second, abs_tol=1e-12)
+
+
+def test_op4_tables_are_packed():
+    """A table of steps has few entries more than the automaton has steps, and gives the same steps."""
+    rng = np.random.default_rng(1)
+    nexts = langid.suffix_automaton(rng.integers(0, 40, 3000).tolist())
+    place, owner, target = langid.packed(nexts, 41)
+    for s, row in enumerate(nexts):
+        for c in range(41):
+            at = place[s] + c
+            assert (owner[at] == s) == (c in row) and (c not in row or target[at] == row[c])
+    assert len(owner) <= 2 * sum(map(len, nexts)) + 41
