@@ -49,7 +49,7 @@ MIN_WORDS = 20
 #: Words of a stretch that is found wherever it begins, and of the part that stands for it.
 PASSAGE, ANCHOR = 50, 16
 #: Bytes of text whose words are hashed at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _END = re.compile(rb"(?:[.!?]+[\"')\]]*(?=\s)|\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f|\n)\s*")
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
@@ -264,22 +264,28 @@ def repeated_passages(base: DataFrame, again: DataFrame, own_id: Column) -> Data
 def span_rows(docs: DataFrame, min_words: int) -> DataFrame:
     """(h1, h2, doc_id, first, last): every run of a table of two columns, id and text, and its first byte and end."""
 
+    def made(ids, digests, rows, firsts, lasts):
+        both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), ids.take(pa.array(rows, pa.int64())), pa.array(firsts, pa.int32()), pa.array(lasts, pa.int32())],
+            ["h1", "h2", "doc_id", "first", "last"],
+        )
+
     def run(batches):
         for batch in batches:
-            digests, rows, firsts, lasts = [], [], [], []
-            for row, text in enumerate(batch.column(1).cast(pa.large_binary()).to_pylist()):
+            held, size = ([], [], [], []), 0
+            for row, text in enumerate(batch.column(1).cast(pa.large_binary())):
+                text = text.as_py()
                 if text:
                     pieces = sentences(text)
                     own, ends = runs(pieces, min_words), [0, *accumulate(map(len, pieces))]
-                    digests += own.values()
-                    rows += [row] * len(own)
-                    firsts += [ends[a] for a, _ in own]
-                    lasts += [ends[b + 1] for _, b in own]
-            both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), batch.column(0).take(pa.array(rows, pa.int64())), pa.array(firsts, pa.int32()), pa.array(lasts, pa.int32())],
-                ["h1", "h2", "doc_id", "first", "last"],
-            )
+                    for column, more in zip(held, (own.values(), [row] * len(own), [ends[a] for a, _ in own], [ends[b + 1] for _, b in own]), strict=True):
+                        column.extend(more)
+                    size += len(text)
+                    if size >= CHUNK:
+                        yield made(batch.column(0), *held)
+                        held, size = ([], [], [], []), 0
+            yield made(batch.column(0), *held)
 
     return map_arrow(docs, run, f"h1 long, h2 long, doc_id {docs.schema[0].dataType.simpleString()}, first int, last int")
 
