@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS, BATCH_BYTES = 2048, 16 << 20
 #: Rows a side may have, at a few fixed-width columns, to be broadcast by hint.
 BROADCAST_ROWS = 500_000
-
+#: Spark's setting that removes a finished execution's shuffle files.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: Paths of the tables cut inside each open ``passing`` block.
 _CUTS: list[list[str]] = []
@@ -41,13 +42,19 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here.
 
+    The shuffle files of the write go when it ends, rather than when the driver's heap happens to be collected.
     The files are removed at the end of the ``passing`` block around, else when the driver's JVM exits.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loom-{name}-{uuid.uuid4().hex}"
     if _CUTS:
         _CUTS[-1].append(path)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     jvm_path = jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(conf).deleteOnExit(jvm_path)
