@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import inf
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,6 +76,22 @@ class Unit:
         return {n.name for p in self.patterns for n in p.nodes if isinstance(n, Var)}
 
 
+@dataclass(frozen=True)
+class Stats:
+    """About how many rows a unit or a join has, and how many terms each of its variables is bound to."""
+
+    rows: float
+    values: dict[str, float]
+
+    def joined(self, other: Stats) -> Stats:
+        """Of two equal variables, each term of the smaller set is taken to be in the larger one."""
+        rows = self.rows * other.rows
+        for n in self.values.keys() & other.values.keys():
+            rows /= max(self.values[n], other.values[n])
+        values = {n: min(x.get(n, inf) for x in (self.values, other.values)) for n in {**self.values, **other.values}}
+        return Stats(rows, {n: max(1.0, min(v, rows)) for n, v in values.items()})
+
+
 class Source:
     """A set of triples, as scans of which each triple is in one."""
 
@@ -129,12 +146,20 @@ class Source:
 
     def estimate(self, unit: Unit) -> float:
         """About how much a unit yields; only the order of estimates matters."""
-        size = max(sum(scan.size for scan in scans) for scans in unit.scans)
+        return max(sum(scan.size for scan in scans) for scans in unit.scans) * self.share(unit)
+
+    def share(self, unit: Unit) -> float:
+        """The share of rows that a unit's constants are taken to leave."""
+        out = 1.0
         for p in unit.patterns:
             for node, share in zip(p.nodes, (SUBJECT_SHARE, PREDICATE_SHARE, OBJECT_SHARE), strict=True):
                 if isinstance(node, Term):
-                    size *= share
-        return size
+                    out *= share
+        return out
+
+    def statistics(self, units: list[Unit]) -> list[Stats] | None:
+        """Of each unit; None where the source knows no numbers of rows."""
+        return None
 
     def triples(self) -> DataFrame:
         """All triples as (s, p, o): text, text and a term."""

@@ -13,9 +13,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.algebra import Pattern
+from ..plans.algebra import Pattern, Var
 from ..terms import BOOLEAN, CUSTOM, DATE, DECIMAL, DOUBLE, INTEGER, LANGUAGE, LITERAL, NATIVE, RDF, STRING, URI, Dyn, Iri, Lit, Term
-from .base import Scan, Slot, Source
+from .base import Scan, Slot, Source, Stats, Unit
 
 _TAG_OF = {"int": INTEGER, "bigint": INTEGER, "smallint": INTEGER, "tinyint": INTEGER, "float": DOUBLE, "double": DOUBLE, "boolean": BOOLEAN, "date": DATE, "timestamp": DATE, "timestamp_ntz": DATE, "string": LITERAL}
 
@@ -48,6 +48,7 @@ class MappedSource(Source):
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], maps: list[TableMap]):
         self.spark, self.tables, self.maps = spark, tables, maps
         self.sizes: dict[str, float] = {}
+        self.counts: dict[str, float] = {}
         types = {name: dict(df.dtypes) for name, df in tables.items()}
         #: key types of templates, so that the same IRIs have the same kind everywhere
         self.key_types = {
@@ -62,6 +63,35 @@ class MappedSource(Source):
                 self.sizes[table] = 1.0
         return self.sizes[table]
 
+    def count(self, table: str) -> float:
+        """Rows of a table, counted once; of Parquet files only the footers are read."""
+        if table not in self.counts:
+            self.counts[table] = float(self.tables[table].count())
+        return self.counts[table]
+
+    def _values(self, slot: Slot, rows: float, unique: bool) -> float:
+        """About how many terms a slot of a scan holds."""
+        if slot.term is not None:
+            return 1.0
+        if unique:
+            return rows
+        if isinstance(slot.kind, Iri):  # as many at most as the table of such subjects has
+            return min([rows, *[self.count(m.table) for m in self.maps if m.subject == slot.kind.template and not m.distinct and m.table in self.tables]])
+        return rows**0.5  # literals repeat
+
+    def statistics(self, units: list[Unit]) -> list[Stats]:
+        out = []
+        for unit in units:
+            sizes = [sum(self.count(self.maps[x.table].table) for x in scans) for scans in unit.scans]
+            rows, values = max(sizes) * self.share(unit), {}
+            for pattern, scans in zip(unit.patterns, unit.scans, strict=True):
+                for k, node in enumerate(pattern.nodes):
+                    if isinstance(node, Var):
+                        own = sum(self._values((x.s, x.p, x.o)[k], self.count(self.maps[x.table].table), k == 0 and x.unique) for x in scans)
+                        values[node.name] = max(1.0, min(own, rows, values.get(node.name, own)))
+            out.append(Stats(rows, values))
+        return out
+
     def _subject(self, m: TableMap) -> Slot:
         kind = Iri(m.subject, self.key_types[m.subject])
         if len(m.keys) == 1:

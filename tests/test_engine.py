@@ -9,8 +9,11 @@ from graphloom import Engine, TripleSource
 from graphloom.__main__ import run, statements
 from graphloom.plans.algebra import Call, Var
 from graphloom.plans.parser import QueryError, parse
+from graphloom.plans.planner import Planner, cheapest_order
+from graphloom.sources.base import Stats
+from graphloom.sources.mapping import MappedSource
 from graphloom.sources.turtle import turtle_frame
-from graphloom.tables import engine
+from graphloom.tables import MAPS, engine
 from graphloom.terms import DATE, DECIMAL, LANGUAGE, Term
 
 DATA = """
@@ -213,6 +216,22 @@ def test_join_order_is_irrelevant(spark, small):
     assert want and want == rows(e.query("select ?o ?s where { " + " . ".join(reversed(parts)) + " }"))
 
 
+def test_join_order_keeps_intermediate_results_small(spark, small, tmp_path):
+    """Patterns that share only a variable of few values are not joined before those that share a key."""
+    spark.range(400).selectExpr("id s_suppkey", "concat('s', id) s_name", "cast(id % 5 as int) s_nationkey", "1.0D s_acctbal").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.range(3000).selectExpr("id c_custkey", "concat('c', id) c_name", "cast(id % 5 as int) c_nationkey", "1.0D c_acctbal", "'M' c_mktsegment").write.parquet(str(tmp_path / "customer.parquet"))
+    tables = {n: spark.read.parquet(f"{tmp_path if n in ('supplier', 'customer') else small}/{n}.parquet") for n in ("nation", "supplier", "customer", "orders", "lineitem")}
+    source = MappedSource(spark, tables, MAPS)
+    planner, query = Planner(source), parse("select count ?g where { ?o <o_custkey> ?c ; <hasSupplier> ?s . ?c <c_mktsegment> ?g ; <c_nationkey> ?n . ?s <s_nationkey> ?n ; <s_acctbal> ?b }")
+    ordered = planner.ordered(source.units(query.group.patterns))
+    seen = set(ordered[0].names)
+    for unit in ordered[1:]:
+        assert seen & unit.names - {"n"}, [sorted(u.names) for u in ordered]
+        seen |= unit.names
+    chain = [Stats(10.0, {"a": 10.0}), Stats(1e6, {"a": 1e6, "b": 10.0}), Stats(20.0, {"b": 10.0}), Stats(5.0, {"z": 5.0})]
+    assert cheapest_order(chain)[:3] == [0, 1, 2] and sorted(cheapest_order(chain)) == [0, 1, 2, 3]
+
+
 def test_console(graph, tmp_path):
     out = io.StringIO()
     assert run(graph, "select ?x where { ?x <ok> ?o }", out) and out.getvalue() == "x\n<b>\n"
