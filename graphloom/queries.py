@@ -267,7 +267,7 @@ GRAPH = {
 
 
 def _geography(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The triples of some predicates of nations, customers, orders and line items, materialised."""
+    """The triples of some predicates of nations, customers, orders and line items, materialised: a set, since each predicate is of one table."""
     source = engine(spark, sf_dir).source
     out = None
     for p in GRAPH:
@@ -289,16 +289,16 @@ class _One:
 
 
 def materialised_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Engine(TripleSource(spark, _geography(spark, sf_dir))).query("select count ?rn where { ?n <n_regionkey> ?r . ?r <r_name> ?rn }")
+    return Engine(TripleSource(spark, _geography(spark, sf_dir), unique=True)).query("select count ?rn where { ?n <n_regionkey> ?r . ?r <r_name> ?rn }")
 
 
 def materialised_variable_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Engine(TripleSource(spark, _geography(spark, sf_dir))).query("select count ?p where { ?s ?p ?o }")
+    return Engine(TripleSource(spark, _geography(spark, sf_dir), unique=True)).query("select count ?p where { ?s ?p ?o }")
 
 
 def _changed(spark: SparkSession, sf_dir: str):
     from .engine import Engine
-    store = TripleStore.create(spark, scratch_path(spark, "store"), _geography(spark, sf_dir))
+    store = TripleStore.create(spark, scratch_path(spark, "store"), _geography(spark, sf_dir), unique=True)
     return Engine(store)
 
 

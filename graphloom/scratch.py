@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +24,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Shuffled bytes a task is given at most where it sorts texts, which take some ten times that in memory.
+TASK_BYTES = 8 << 20
+_ADVISORY = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+
+
+@contextmanager
+def bounded_tasks(spark: SparkSession) -> Iterator[None]:
+    """Writes in the block are shuffled to partitions of TASK_BYTES, or of the session's setting where that is less."""
+    before = spark.conf.get(_ADVISORY, None)
+    if before is None or spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before) > TASK_BYTES:
+        spark.conf.set(_ADVISORY, str(TASK_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(_ADVISORY) if before is None else spark.conf.set(_ADVISORY, before)
+
+
 def materialised(df: DataFrame, name: str) -> DataFrame:
     """The table written once and read back."""
     path = scratch_path(df.sparkSession, name)

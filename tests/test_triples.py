@@ -2,7 +2,7 @@
 
 import pytest
 
-from graphloom import Engine, TripleStore
+from graphloom import Engine, TripleStore, scratch
 from graphloom.operators import statistics
 from graphloom.sources import dictionary, turtle
 from graphloom.streaming.ingest import ingest
@@ -131,3 +131,34 @@ def test_streaming_ingest(spark, tmp_path):
         ingest(spark.readStream.text(str(tmp_path / "in")), store, str(tmp_path / "check"), availableNow=True).awaitTermination()
     assert [r[0] for r in triples(TripleStore(spark, store.path).current())] == ["a", "b", "c"]
     assert len(triples(store.as_of(1))) == 2
+
+
+def test_sets_are_made_distinct_once(spark, small):
+    """Tables without repeated subjects need no distinct at all, pairs of line items one on their keys."""
+    from graphloom import queries
+
+    plan = queries.materialised_variable_predicate(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 2, plan
+    plan = queries.ntriples_round_trip(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1, plan
+
+
+def test_base_is_written_in_bounded_tasks(spark, tmp_path):
+    """What a task of a bulk load sorts is bounded by a setting for the write alone."""
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1g")
+    try:
+        seen = []
+        rows = spark.range(1000).selectExpr("concat('s', id) s", "'p' p", "'x' o_v", "cast(1 as tinyint) o_t", "cast(null as string) o_st")
+        with scratch.bounded_tasks(spark):
+            seen.append(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes"))
+            with scratch.bounded_tasks(spark):
+                pass
+            seen.append(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes"))
+        assert seen == [str(scratch.TASK_BYTES)] * 2
+        assert TripleStore.create(spark, str(tmp_path / "store"), rows, unique=True).current().count() == 1000
+        assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "1g"
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+        with scratch.bounded_tasks(spark):
+            assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "1m"
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
