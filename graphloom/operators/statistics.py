@@ -48,18 +48,36 @@ def join_selectivity(left: DataFrame, left_slot: str, right: DataFrame, right_sl
     return join_partners(left, left_slot, right, right_slot) / whole if whole else 0.0
 
 
+def _by_subject(triples: DataFrame) -> DataFrame:
+    """(s, p) shuffled once, to as many partitions as the session shuffles to: those that adaptive execution makes of texts are many times larger in memory."""
+    return triples.select("s", "p").repartition(int(triples.sparkSession.conf.get("spark.sql.shuffle.partitions")), "s")
+
+
 def characteristic_sets(triples: DataFrame) -> DataFrame:
     """predicates, subjects and triples: how many subjects have exactly a set of predicates."""
-    own = triples.groupBy("s", "p").agg(F.count(F.lit(1)).alias("n"))
+    own = _by_subject(triples).groupBy("s", "p").agg(F.count(F.lit(1)).alias("n"))
     sets = own.groupBy("s").agg(F.sort_array(F.collect_list("p")).alias("predicates"), F.sum("n").alias("n"))
     return sets.groupBy("predicates").agg(F.count(F.lit(1)).alias("subjects"), F.sum("n").cast("long").alias("triples"))
 
 
+#: Predicates that one number has bits for.
+BITS = 63
+
+
 def star_counts(triples: DataFrame, predicates: list[str]) -> DataFrame:
-    """(star): how many subjects have all of the predicates, by characteristic sets."""
-    sets = characteristic_sets(triples)
-    wanted = F.size(F.array_except(F.array(*[F.lit(p) for p in predicates]), F.col("predicates"))) == 0
-    return sets.where(wanted).agg(F.coalesce(F.sum("subjects"), F.lit(0)).alias("star"))
+    """(star): how many subjects have all of the predicates; a subject is a bit for each that it has."""
+    wanted = sorted(set(predicates))
+    groups = [wanted[i : i + BITS] for i in range(0, len(wanted), BITS)]
+    if wanted:
+        triples = triples.where(F.col("p").isin(wanted))
+    bits = [
+        F.bit_or(F.coalesce(*[F.when(F.col("p") == p, F.lit(1 << i).cast("long")) for i, p in enumerate(g)], F.lit(0).cast("long"))).alias(f"bits_{k}")
+        for k, g in enumerate(groups)
+    ]
+    have = _by_subject(triples).groupBy("s").agg(F.count(F.lit(1)).alias("n"), *bits)
+    for k, g in enumerate(groups):
+        have = have.where(F.col(f"bits_{k}") == F.lit((1 << len(g)) - 1).cast("long"))
+    return have.agg(F.count(F.lit(1)).alias("star"))
 
 
 def star_cardinality(triples: DataFrame, predicates: list[str]) -> int:

@@ -121,6 +121,19 @@ def test_statistics(spark):
     sets = {tuple(r["predicates"]): (r["subjects"], r["triples"]) for r in statistics.characteristic_sets(df).collect()}
     assert sets == {("p", "q"): (2, 5), ("q",): (1, 1)}
     assert statistics.star_cardinality(df, ["q"]) == 3 and statistics.star_cardinality(df, ["p", "q"]) == 2
+    assert statistics.star_cardinality(df, []) == 3 and statistics.star_cardinality(df, ["p", "none"]) == 0
+    many = [f"p{i}" for i in range(130)]
+    wide = turtle.turtle_frame(spark, "".join(f"<{x}> <{p}> 1 , 2 . " for x in "ab" for p in many if x == "a" or p != "p99"))
+    assert statistics.star_cardinality(wide, many) == 1 and statistics.star_cardinality(wide, many[:99]) == 2
+
+
+def test_statistics_take_bounded_tasks(spark):
+    """A subject's predicates are gathered in a fixed number of partitions, stars by one shuffle of subjects alone."""
+    df = turtle.turtle_frame(spark, "<a> <p> <b> .")
+    plan = statistics.characteristic_sets(df)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and plan.count("Exchange hashpartitioning") == 2  # by subject, by set
+    plan = statistics.star_counts(df, ["p", "q"])._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and plan.count("Exchange hashpartitioning") == 1 and "collect_list" not in plan
 
 
 def test_streaming_ingest(spark, tmp_path):
