@@ -13,6 +13,8 @@ from ..operators.statistics import columns, term_of
 from ..scratch import materialised
 from .turtle import unescaped
 
+#: Predicates that are sent to all tasks; where there are more, triples are shuffled to them as to any term.
+FEW = 100_000
 #: The six orders of a triple's slots.
 ORDERS = ("spo", "sop", "ops", "osp", "pso", "pos")
 
@@ -31,31 +33,44 @@ def _numbered(df: DataFrame, *order) -> DataFrame:
 
 
 def build_dictionary(triples: DataFrame, by_use: bool = False) -> DataFrame:
-    """(id, v, t, st) of every term; predicates come first, then by text, or by falling use."""
+    """(id, v, t, st, is_p) of every term; predicates come first, then by text, or by falling use. Triples may repeat, save that use counts them."""
     uses = None
     for slot in "spo":
         own = triples.select(*term_of(slot), F.lit(int(slot == "p")).alias("is_p"))
         uses = own if uses is None else uses.unionAll(own)
     terms = uses.groupBy("v", "t", "st").agg(F.max("is_p").alias("is_p"), F.count(F.lit(1)).alias("uses"))
     order = [F.desc("is_p"), *([F.desc("uses")] if by_use else []), "v", "t", "st"]
-    return _numbered(terms, *order).select("id", "v", "t", F.when(F.col("st") != "", F.col("st")).alias("st"))
+    placed = _numbered(terms if by_use else terms.drop("uses"), *order)
+    return placed.select("id", "v", "t", F.when(F.col("st") != "", F.col("st")).alias("st"), (F.col("is_p") == 1).alias("is_p"))
 
 
-def encode(triples: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """(s, p, o) as ids: three joins with the dictionary."""
+def predicates(dictionary: DataFrame) -> DataFrame:
+    """The terms of a dictionary that are predicates of the triples it was built of; if they are few, joins send them to all tasks."""
+    own = dictionary.where("is_p")
+    return own.hint("broadcast" if own.count() <= FEW else "shuffle_hash")
+
+
+def _looked_up(dictionary: DataFrame, known: DataFrame | None, slot: str) -> DataFrame:
+    """What a slot is joined with. The dictionary is the side that is hashed: its keys don't repeat, and no triple is sorted."""
+    return known if slot == "p" and known is not None else dictionary.hint("shuffle_hash")
+
+
+def encode(triples: DataFrame, dictionary: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(s, p, o) as ids: three joins with the dictionary. known: its predicates, if it was built of these triples."""
     out = triples.select("s", "p", *[c.alias(f"o_{n}") for c, n in zip(term_of("o"), ("v", "t", "st"), strict=True)])
-    for slot in "spo":
-        d = dictionary.select(F.col("id").alias(f"{slot}_id"), F.col("v").alias("d_v"), F.col("t").alias("d_t"), F.coalesce("st", F.lit("")).alias("d_st"))
+    for slot in "pso":
+        d = _looked_up(dictionary, known, slot)
+        d = d.select(F.col("id").alias(f"{slot}_id"), F.col("v").alias("d_v"), F.col("t").alias("d_t"), F.coalesce("st", F.lit("")).alias("d_st"))
         test = (F.col("o_v") == F.col("d_v")) & (F.col("o_t") == F.col("d_t")) & (F.col("o_st") == F.col("d_st")) if slot == "o" else (F.col(slot) == F.col("d_v")) & (F.col("d_t") == 0)
-        out = out.join(d, test).drop("d_v", "d_t", "d_st")
+        out = out.join(d, test).drop("d_v", "d_t", "d_st", slot)
     return out.select(*[F.col(f"{x}_id").alias(x) for x in "spo"])
 
 
-def decode(ids: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """The triples of ids."""
+def decode(ids: DataFrame, dictionary: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """The triples of ids. known: the dictionary's predicates, if it was built of these triples."""
     out = ids
-    for slot in "spo":
-        d = dictionary.select(F.col("id").alias(f"{slot}_key"), F.struct("v", "t", "st").alias(f"{slot}_term"))
+    for slot in "osp":
+        d = _looked_up(dictionary, known, slot).select(F.col("id").alias(f"{slot}_key"), F.struct("v", "t", "st").alias(f"{slot}_term"))
         out = out.join(d, F.col(slot) == F.col(f"{slot}_key"))
     return out.select(
         F.col("s_term.v").alias("s"), F.col("p_term.v").alias("p"), F.col("o_term.v").alias("o_v"), F.col("o_term.t").alias("o_t"), F.col("o_term.st").alias("o_st")

@@ -175,3 +175,31 @@ def test_base_is_written_in_bounded_tasks(spark, tmp_path):
             assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "1m"
     finally:
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+def test_dictionary_joins_sort_no_triples(spark, small):
+    """The dictionary is the hashed side of every join with it, predicates are sent to the triples, and only the triples that are encoded are made distinct."""
+    from graphloom import queries
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = queries.dictionary_round_trip(spark, small)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and plan.count("ShuffledHashJoin") == 4, plan
+    own = queries._geography(spark, small, repeats=True)
+    assert "Aggregate [" not in own._jdf.queryExecution().optimizedPlan().toString()
+    assert triples(own.distinct()) == triples(queries._geography(spark, small)) and own.count() > own.distinct().count()
+
+
+def test_dictionary_knows_its_predicates(spark, monkeypatch):
+    """A predicate may be a subject, an object or the text of a literal too; triples that repeat make no other dictionary."""
+    df = turtle.turtle_frame(spark, '<p> <p> <q> , "p" , "p"@en . <a> <q> <p> , 1 . <b> <r> <a> .').distinct()
+    d = dictionary.build_dictionary(df.unionAll(df))
+    assert sorted(map(tuple, d.collect()), key=repr) == sorted(map(tuple, dictionary.build_dictionary(df).collect()), key=repr)
+    for few in (dictionary.FEW, 0):
+        monkeypatch.setattr(dictionary, "FEW", few)
+        known = dictionary.predicates(d)
+        assert {r["v"] for r in known.collect()} == {"p", "q", "r"}
+        assert triples(dictionary.decode(dictionary.encode(df, d, known), d, known)) == triples(df)
